@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import Workspace, load
 from .components import components
 from .fixed_tables import emitted, merged
+from .membership import membership
 from .textkit import U64, mix64, pieces, shingles, stream64, utf8_of
 
 SKETCH = 1 << 20
-BITS = 1 << 26
 MEMBERS_A_CELL = 512
 QUERIES_A_CELL = 4096
 _SEEN_LIMIT = 1 << 20
@@ -168,25 +168,11 @@ class _Bound:
 
 def _filtered_sets(docs: DataFrame, text: str, width: int, keys: DataFrame, key: str) -> DataFrame:
     """(sid, tokens) of the documents with the given keys and perhaps a few more, by a bit set of fixed size."""
-    places = lambda k: [(mix64(k.astype(np.int64).view(U64) ^ stream64(s, 1)[0]) >> U64(38)).astype(np.int64) for s in (61, 62)]
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, dtype=bool)
-        for batch in batches:
-            for place in places(batch.column(0).to_numpy()):
-                bits[place] = True
-        if bits.any():
-            parts = emitted(np.packbits(bits))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["block", "packed"])
-
-    table = merged(keys.select(F.col(key).cast("long")).coalesce(8).mapInArrow(fill, "block int, packed binary"), "u1", np.bitwise_or, BITS // 8)
-    spread = docs.sparkSession.sparkContext.broadcast(table)
+    may_have = membership(keys, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for place in places(batch.column("_key").to_numpy()):
-                keep &= (spread.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+            keep = may_have(batch.column("_key").to_numpy())
             if keep.any():
                 sets = shingles(*utf8_of(batch.filter(pa.array(keep)).column(text)), width)
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
