@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_byte_bpe
 from .exact_search import op5_exact_topk
 from .fingerprints import op9_fingerprints
+from .license_scan import op7_license_scan
+from .mixing import op6_mixing
 from .ngram_join import op1_ngram_jaccard_join
 from .quality_lm import op4_quality_classifier
 from .sharding import op3_sharding
@@ -17,7 +19,7 @@ from .token_store import op2_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op3_sharding, op4_quality_classifier, op5_exact_topk, op8_suffix_dedup, op9_fingerprints, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op3_sharding, op4_quality_classifier, op5_exact_topk, op6_mixing, op7_license_scan, op8_suffix_dedup, op9_fingerprints, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
