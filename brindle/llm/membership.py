@@ -28,12 +28,12 @@ def membership(keys: DataFrame, key: str) -> Callable[[np.ndarray], np.ndarray]:
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, dtype=bool)
+        bits = np.zeros(BITS // 8, dtype=np.uint8)
         for batch in batches:
             for place in _places(batch.column(0).to_numpy()):
-                bits[place] = True
+                np.bitwise_or.at(bits, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
         if bits.any():
-            parts = emitted(np.packbits(bits))
+            parts = emitted(bits)
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["block", "packed"])
 
     rows = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long"))

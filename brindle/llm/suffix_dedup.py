@@ -152,7 +152,7 @@ def _contexts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "stretch", "at", "known")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, 1 << 20):
             data, offsets = utf8_of(batch.column(text))
             rows = batch.column("asked")
             at, flat = rows.offsets.to_numpy(), rows.flatten()

@@ -48,7 +48,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling base and of its inverse modulo 2**64, for n positions at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 2 << 20)
         up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
         up[0] = down[0] = U64(1)
         with np.errstate(over="ignore"):
@@ -70,7 +70,7 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``limit`` bytes; one longer text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:
@@ -89,7 +89,9 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], dtype=U64, out=sums[1:])
+        terms = _BYTE_VALUE[data]
+        terms *= up[: len(data)]
+        np.cumsum(terms, dtype=U64, out=sums[1:])
         own = (sums[ends] - sums[starts]) * down[starts]
         return mix64(own + (ends - starts).astype(U64) * U64(_GOLDEN))
 
