@@ -615,16 +615,16 @@ def stage_simple(s, d):
     ]).build(s)
 
 
-@query("SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 2) AS mean, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY total DESC")
+@query("SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 6) AS mean, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY total DESC")
 def stage_join_agg_sort(s, d):
     aggs = [Agg("count", None, "customers"), Agg("avg", "c_acctbal", "mean"), Agg("sum", "c_acctbal", "total")]
-    cents = lambda c: F.round(c, 2)
+    near = lambda c, n: F.round(c, n)
     return StagePlan([
         Node("customers", "scan", {"path": f"{d}/customer.parquet"}),
         Node("nations", "scan", {"path": f"{d}/nation.parquet"}),
         Node("join", "join", {"left_keys": ["c_nationkey"], "right_keys": ["n_nationkey"], "strategy": "broadcast"}, ("customers", "nations")),
         Node("group", "aggregate", {"keys": ["n_name"], "aggs": aggs}, ("join",)),
-        Node("round", "project", {"exprs": [Col("n_name"), Col("customers"), cents("mean"), cents("total")], "names": ["n_name", "customers", "mean", "total"]}, ("group",)),
+        Node("round", "project", {"exprs": [Col("n_name"), Col("customers"), near("mean", 6), near("total", 2)], "names": ["n_name", "customers", "mean", "total"]}, ("group",)),
         Node("sort", "sort", {"keys": [Key("total", asc=False)]}, ("round",)),
     ]).build(s)
 
