@@ -42,7 +42,8 @@ FOOTER = struct.Struct("<IBI")
 HEADER = struct.Struct("<II")
 INDEX_ROW = np.dtype([("key", "<i8"), ("first", "<u8"), ("count", "<u8")])
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+CACHED_CHUNKS = 300_000
 #: Texts that the quick path takes: letters whose lower case and composed form are plain, then ASCII punctuation.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=>?@\[\]^_`{|}~*]*)")
 
@@ -60,39 +61,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.chunks: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in printable]
         self.letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _word(self, word: str) -> list[int]:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            shown = "".join([self.letter[b] for b in word.encode()])
-            got = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(shown)] if word else []
+    def _word(self, word: str) -> bytes:
+        if len(self.words) >= CACHED_WORDS:
+            self.words.clear()
+        shown = "".join([self.letter[b] for b in word.encode()])
+        got = self.words[word] = _pack([t.id for t in self.tokenizer.model.tokenize(shown)] if word else [])
         return got
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> bytes:
         match = PLAIN.fullmatch(chunk)
         if match:
-            got = self._word(match[1].lower()) + self._word(match[2])
+            word, marks = match[1].lower(), match[2]
+            got = self.words.get(word) or self._word(word)
+            if marks:
+                got += self.words.get(marks) or self._word(marks)
         else:
-            got = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(self.chunks) >= CACHED_WORDS:
+            got = _pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(self.chunks) >= CACHED_CHUNKS:
             self.chunks.clear()
         self.chunks[chunk] = got
         return got
 
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        seen, make = self.chunks.get, self.chunk
+        return b"".join([seen(chunk) or make(chunk) for chunk in text.split()])
+
     def text(self, text: str) -> list[int]:
-        ids: list[int] = []
-        seen = self.chunks.get
-        for chunk in text.split():
-            got = seen(chunk)
-            ids += self.chunk(chunk) if got is None else got
-        return ids
+        return np.frombuffer(self.packed(text), dtype="<u4").tolist()
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -117,8 +123,8 @@ class FrameWriter:
         self.held: list[np.ndarray] = []
         self.waiting = self.total = 0
 
-    def add(self, key: int, ids: list[int]) -> None:
-        array = np.array(ids, dtype="<u4")
+    def add(self, key: int, ids: bytes | list[int]) -> None:
+        array = np.frombuffer(ids, dtype="<u4") if isinstance(ids, bytes) else np.array(ids, dtype="<u4")
         self.index.append((key, self.total, len(array)))
         self.total += len(array)
         if self.waiting and self.waiting + len(array) > FRAME_IDS:
@@ -207,7 +213,7 @@ def store(docs: DataFrame, config: str, end_id: int, folder: str, key: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(config)  # a vocabulary file: its size doesn't depend on the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(shared.value)
+        made, end = encoder(shared.value), _pack([end_id])
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         name = f"{root}/ids-{uuid.uuid4().hex}.zst"
@@ -217,7 +223,7 @@ def store(docs: DataFrame, config: str, end_id: int, folder: str, key: str = "do
                 if writer is None:
                     out = fs.open_output_stream(name, compression=None)
                     writer = FrameWriter(out)
-                writer.add(k, [*made.text(t or ""), end_id])
+                writer.add(k, made.packed(t or "") + end)
         if writer is not None:
             writer.close()
             out.close()
