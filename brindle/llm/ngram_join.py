@@ -119,7 +119,10 @@ def _firsts(docs: DataFrame, text: str, width: int, share: Fraction, heavy: np.n
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
-    """The distinct rows (token, sid) of tokens that several classes have; rows stream by in order."""
+    """The distinct rows (token, sid, length) of tokens that several classes have; rows stream by in order.
+
+    ``length`` is that of the token's list as far as one batch shows it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = sid = None
@@ -143,9 +146,12 @@ def _shared(tokens: DataFrame) -> DataFrame:
             several = bool(out[-1]) or (several and len(t) == 1)
             token, sid = t[-1], s[-1]
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out])], ["token", "sid"])
+                begin = np.flatnonzero(np.concatenate([[True], ~same]))
+                length = np.diff(np.concatenate([begin, [len(t)]]))
+                length = np.repeat(length, length).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(length[out])], ["token", "sid", "length"])
 
-    return tokens.mapInArrow(run, "token bigint, sid bigint")
+    return tokens.mapInArrow(run, "token bigint, sid bigint, length int")
 
 
 class _Bound:
@@ -252,35 +258,32 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     tokens = firsts.select(F.explode("tokens").alias("token"), "sid").repartition(parts, "token").sortWithinPartitions("token", "sid")
     shared = space.table(_shared(tokens), "shared")
 
-    lists = shared.groupBy("token").agg(F.count("*").alias("length"))
     facts = firsts.select("sid", "n", "last").dropDuplicates(["sid"])
-    about = shared.join(lists, "token").groupBy("sid").agg(F.count("*").alias("several"), F.sum("length").alias("_total"))
-    about = space.table(about.join(facts, "sid").select("sid", "several", "n", "last", (F.col("_total") / F.col("n")).alias("central")), "about")
-    known = space.table(shared.join(about, "sid"), "known")
+    about = shared.groupBy("sid").agg(F.count("*").alias("several"), F.sum("length").alias("_total"))
+    about = space.table(about.join(facts, "sid").select("sid", "several", "n", "last", (F.col("_total") / F.col("n")).cast("float").alias("central")), "about")
 
     bound = _Bound(share)
-    x, y = "_x", "_y"
-    leaders = known.groupBy("token").agg(F.max(F.struct("central", "sid", "n", "last", "several")).alias(y))
-    star = known.join(leaders, "token").where(f"sid <> {y}.sid")
-    star = star.groupBy("sid", F.col(f"{y}.sid").alias("g")).agg(
-        F.count("*").alias("common"), *[F.first(c).alias(f"{x}{c}") for c in ("n", "last", "several")], *[F.first(f"{y}.{c}").alias(f"{y}{c}") for c in ("n", "last", "several")]
-    )
-    xn, yn = F.col(f"{x}n"), F.col(f"{y}n")
-    behind = (
-        F.when(F.col(f"{x}last") < F.col(f"{y}last"), bound.rest(xn))
-        .when(F.col(f"{x}last") > F.col(f"{y}last"), bound.rest(yn))
-        .otherwise(F.greatest(bound.rest(xn), bound.rest(yn)))
-    )
-    star = space.table(star.where(bound.sizes(xn, yn) & (F.col("common") >= bound.overlap(xn, yn) - behind)).select(F.col("sid").alias("x"), "g"), "star")
+    known = shared.select("token", "sid").join(about.select("sid", "central"), "sid")
+    leaders = known.groupBy("token").agg(F.max(F.struct("central", "sid")).alias("_lead")).select("token", F.col("_lead.sid").alias("g"))
+    star = shared.select("token", "sid").join(leaders, "token").where("sid <> g").groupBy("sid", "g").agg(F.count("*").alias("common"))
+    x, y = about.select("sid", F.col("n").alias("xn"), F.col("last").alias("xlast")), about.select(F.col("sid").alias("g"), F.col("n").alias("yn"), F.col("last").alias("ylast"))
+    xn, yn = F.col("xn"), F.col("yn")
+    behind = F.when(F.col("xlast") < F.col("ylast"), bound.rest(xn)).when(F.col("xlast") > F.col("ylast"), bound.rest(yn)).otherwise(F.greatest(bound.rest(xn), bound.rest(yn)))
+    star = star.join(x, "sid").join(y, "g").where(bound.sizes(xn, yn) & (F.col("common") >= bound.overlap(xn, yn) - behind))
+    star = space.table(star.select(F.col("sid").alias("x"), "g"), "star")
     owners = mine.where("n > 0").groupBy("sid").agg(F.min(key).alias(key))
     sets = _sets_of(docs, text, width, star.select(F.col("x").alias("sid")).union(star.select("g")), owners, key, space, "sets-1")
     first_links = space.table(_opened(star, star.select("g", F.col("g").alias("y")).distinct(), sets, share), "links-1")
     groups = components(first_links, space, "groups")
 
-    named = known.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("group", F.coalesce("root", "sid")).drop("root")
-    mixed = named.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("token")
-    weight = groups.groupBy(F.col("root").alias("group")).agg((F.count("*") + 1).alias("weight"))
-    mixed = space.table(named.join(mixed, "token").join(weight, "group", "left").withColumn("weight", F.coalesce("weight", F.lit(1))), "mixed")
+    weight = groups.groupBy("root").agg((F.count("*") + 1).alias("weight"))
+    label = groups.select(F.col("node").alias("sid"), "root").union(groups.select(F.col("root").alias("sid"), "root").distinct())
+    label = about.select("sid", "several", "n", "last").join(label, "sid", "left").withColumn("group", F.coalesce("root", "sid")).drop("root")
+    label = label.join(weight.withColumnRenamed("root", "group"), "group", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    label = space.table(label, "label")
+    grouped = shared.select("token", "sid").join(label.select("sid", "group"), "sid")
+    mixed = grouped.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("token")
+    mixed = space.table(shared.select("token", "sid").join(mixed, "token", "left_semi").join(label, "sid"), "mixed")
 
     matrix = mixed.groupBy("token", F.col("group").alias("g")).agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("several").alias("g_several"), F.min("last").alias("g_first"), F.max("last").alias("g_last"), F.first("weight").alias("g_weight")
