@@ -31,6 +31,7 @@ RUN_ROWS = 2048
 #: The default target weight of a source is its number of rows to this power.
 TEMPERATURE = 0.5
 NO_SOURCE = "\0none"
+FEW_SOURCES = 256
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -123,8 +124,10 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, key:
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, target)
 
     spark = docs.sparkSession
+    # tables of a row a source are broadcast as long as sources are few
+    side = F.broadcast if len(counts) <= FEW_SOURCES else lambda df: df
     sizes = spark.createDataFrame([(s, max(1, n // RUN_ROWS)) for s, n in counts.items()], "_source string, _runs long")
-    rows = rows.join(F.broadcast(sizes), "_source")  # a row a source
+    rows = rows.join(side(sizes), "_source")
     rows = rows.withColumn("_run", F.pmod(F.xxhash64(key), F.col("_runs")))
     before = Window.partitionBy("_source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_source", "_run").agg(F.count("*").alias("_n")).select("_source", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -135,7 +138,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, key:
     table = [(p.source, p.number, p.first, p.end, p.slot, p.share, p.period, p.places) for p in plan if p.end > p.first]
     named = "_source string, phase int, _first long, _end long, _slot long, _share long, _period long, _places array<int>"
     parts = spark.createDataFrame(table, named).groupBy("_source").agg(F.collect_list(F.struct("phase", "_first", "_end", "_slot", "_share", "_period", "_places")).alias("_phases"))
-    rows = rows.join(F.broadcast(parts), "_source")  # a row a source
+    rows = rows.join(side(parts), "_source")
     rows = rows.withColumn("_p", F.filter("_phases", lambda p: (p["_first"] <= F.col("block")) & (F.col("block") < p["_end"]))[0])
     j, share, period = F.col("block") - F.col("_p._first"), F.col("_p._share"), F.col("_p._period")
     floor_div: Column = F.floor(j * period / share + 1e-9)
