@@ -333,3 +333,22 @@ def test_yaml_settings(tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("# x\nspark:\n  sql:\n    a: 1 # one\n  b: 'two'\nother: 3\n")
     assert settings_from_yaml(p) == {"spark.sql.a": "1", "spark.b": "two", "other": "3"}
+
+
+def test_pipelines(spark):
+    from brindle.plans.pipeline import SKIPPED, Pipeline, Task
+
+    tasks = [
+        Task("count", lambda df: df.count(), ("made",), "high"),
+        Task("made", lambda: spark.range(10)),
+        Task("large", lambda n: "large", ("count",), when=lambda n: n > 100),
+        Task("small", lambda n: "small", ("count",), when=lambda n: n <= 100),
+        Task("after", lambda x: x, ("large",)),
+    ]
+    got = Pipeline(tasks).run(spark)
+    assert got["count"] == 10 and got["small"] == "small" and got["large"] is SKIPPED and got["after"] is SKIPPED
+    assert Pipeline(tasks).order()[:2] == ["made", "count"]
+    with pytest.raises(ValueError, match="cycle"):
+        Pipeline([Task("a", int, ("b",)), Task("b", int, ("a",))])
+    with pytest.raises(ZeroDivisionError):
+        Pipeline([Task("a", lambda: 1 / 0)]).run(spark)
