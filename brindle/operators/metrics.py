@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,22 @@ def regressions(before: Mapping[str, float], now: Mapping[str, float], threshold
     """Queries whose time rose by more than ``threshold`` of what it was, and by how much."""
     change = {q: (now[q] - before[q]) / before[q] for q in now if before.get(q)}
     return {q: c for q, c in change.items() if c > threshold}
+
+
+def fingerprint(df: DataFrame) -> str:
+    """The same for plans that compute the same from the same sources, whatever their columns' internal ids."""
+    return f"{df.semanticHash() & 0xFFFFFFFF:08x}"
+
+
+def running(spark: SparkSession) -> list[dict[str, int]]:
+    """The active stages: tasks in all, active, completed and failed."""
+    tracker = spark.sparkContext.statusTracker()
+    found = [tracker.getStageInfo(i) for i in tracker.getActiveStageIds()]
+    return [{"stage": s.stageId, "tasks": s.numTasks, "active": s.numActiveTasks, "completed": s.numCompletedTasks, "failed": s.numFailedTasks} for s in found if s]
+
+
+def suggested_partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
+    """How many partitions of about ``target_bytes`` a plan's estimated size makes, one a core at least."""
+    from .joins import estimated_bytes
+
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-estimated_bytes(df) // target_bytes))

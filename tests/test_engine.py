@@ -15,7 +15,7 @@ from brindle.operators.aggregate import aggregate, salted_aggregate
 from brindle.operators.basic import distinct, distinct_stats, filter_, needed_columns, project
 from brindle.operators.exchange import exchange, shuffle_id
 from brindle.operators.joins import broadcast_if_small, join, join_on, salted_join
-from brindle.operators.metrics import measured, regressions
+from brindle.operators.metrics import fingerprint, measured, regressions, running, suggested_partitions
 from brindle.operators.ordering import Key, limit, sort, top_n
 from brindle.operators.runs import run_aggregate, run_segments
 from brindle.operators.sets import set_op
@@ -217,6 +217,8 @@ def test_metrics(spark):
     m = measured(spark.range(10), lambda d: d.where("id < 4"))
     m.result.collect()
     assert m.figures() == {"rows_in": 10, "rows_out": 4, "selectivity": 0.4}
+    assert fingerprint(spark.range(5).where("id > 1")) == fingerprint(spark.range(5).where("id > 1")) != fingerprint(spark.range(5).where("id > 2"))
+    assert running(spark) == [] and suggested_partitions(spark.range(10)) == spark.sparkContext.defaultParallelism
     assert regressions({"a": 1.0, "b": 1.0}, {"a": 1.05, "b": 1.5}) == {"b": 0.5}
 
 
