@@ -39,7 +39,7 @@ WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 BLOCK = 256
-CACHED_PIECES = 600_000
+CACHED_PIECES = 200_000
 QUADRATIC_LIMIT = 96
 NO_PAIR = 1 << 60
 
