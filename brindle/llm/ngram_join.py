@@ -9,8 +9,7 @@ Exact, up to collisions of 64-bit hashes, without a pair for each two members of
    goes no further. The number of them that a pair shares bounds its overlap.
 3. Grouping: in each list of classes that share a shingle, all are compared with
    the list's most central class. That puts most similar classes in one group.
-4. Token-group matrix: for lists that still hold classes of several groups, rows
-   (shingle, group) stand for each group's token union there. A class whose shared
+4. Token-group matrix: rows (shingle, group) stand for each group's token union. A class whose shared
    shingles with a group can't reach the overlap that some member would need
    doesn't open that group. Qualifying groups are opened: the class is compared
    with the group's members, in blocks of bounded size, until a link is found.
@@ -173,19 +172,22 @@ class _Bound:
 
 
 def _filtered_sets(docs: DataFrame, text: str, width: int, keys: DataFrame, key: str) -> DataFrame:
-    """(sid, tokens) of the documents with the given keys and perhaps a few more, by a bit set of fixed size."""
+    """(_key, sid, tokens) of the documents with the given keys and perhaps a few more, by a bit set of fixed size."""
     may_have = membership(keys, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             keep = may_have(batch.column("_key").to_numpy())
             if keep.any():
-                sets = shingles(*utf8_of(batch.filter(pa.array(keep)).column(text)), width)
+                batch = batch.filter(pa.array(keep))
+                sets = shingles(*utf8_of(batch.column(text)), width)
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets).view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))], ["sid", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_key"), pa.array(set_ids(sets).view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))], ["_key", "sid", "tokens"]
+                )
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), text).mapInArrow(run, "sid bigint, tokens array<bigint>")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), text).mapInArrow(run, "_key bigint, sid bigint, tokens array<bigint>")
 
 
 def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
@@ -261,6 +263,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     facts = firsts.select("sid", "n", "last").dropDuplicates(["sid"])
     about = shared.groupBy("sid").agg(F.count("*").alias("several"), F.sum("length").alias("_total"))
     about = space.table(about.join(facts, "sid").select("sid", "several", "n", "last", (F.col("_total") / F.col("n")).cast("float").alias("central")), "about")
+    space.drop("firsts")  # the largest table; what is needed of it is in the two others
 
     bound = _Bound(share)
     known = shared.select("token", "sid").join(about.select("sid", "central"), "sid")
@@ -281,9 +284,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     label = about.select("sid", "several", "n", "last").join(label, "sid", "left").withColumn("group", F.coalesce("root", "sid")).drop("root")
     label = label.join(weight.withColumnRenamed("root", "group"), "group", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     label = space.table(label, "label")
-    grouped = shared.select("token", "sid").join(label.select("sid", "group"), "sid")
-    mixed = grouped.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("token")
-    mixed = space.table(shared.select("token", "sid").join(mixed, "token", "left_semi").join(label, "sid"), "mixed")
+    mixed = space.table(shared.select("token", "sid").join(label, "sid"), "mixed")
+    space.drop("shared")
 
     matrix = mixed.groupBy("token", F.col("group").alias("g")).agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("several").alias("g_several"), F.min("last").alias("g_first"), F.max("last").alias("g_last"), F.first("weight").alias("g_weight")
@@ -304,6 +306,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     )
     opens = cells.groupBy(F.col("sid").alias("x"), "g").agg(F.count("*").alias("common"), F.min(least).alias("least")).where("common >= least").select("x", "g")
     opens = space.table(opens, "opens")
+    space.drop("mixed")
     within = opens.select("g").distinct()
     members = groups.select(F.col("root").alias("g"), F.col("node").alias("y")).join(within, "g", "left_semi").union(within.select("g", F.col("g").alias("y")))
     members = space.table(members, "members")
@@ -321,7 +324,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 def _sets_of(docs: DataFrame, text: str, width: int, wanted: DataFrame, owners: DataFrame, key: str, space: Workspace, name: str) -> DataFrame:
     """The whole sets of the wanted classes, each from its smallest document."""
     wanted = space.table(wanted.distinct().join(owners, "sid"), f"{name}-keys")
-    found = _filtered_sets(docs, text, width, wanted, key).join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    owned = wanted.select(F.col(key).cast("long").alias("_key"), "sid")
+    found = _filtered_sets(docs, text, width, wanted, key).join(owned, ["_key", "sid"], "left_semi").select("sid", "tokens")
     return space.table(found, name)
 
 
