@@ -1,8 +1,9 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment measures them.
 
 The templates' k-word strings are hashed and winnowed: of each run of neighbouring
-hashes the smallest is kept. Any match of k + w - 1 words or more shares a kept hash. An
-inverted index, whose size is that of the templates, gives for each kept hash of a
+hashes the smallest is kept. Any match of k + w - 1 words or more shares a kept hash;
+of templates whose matches can have fewer in a row, every hash is looked up. An
+inverted index, whose size is that of the templates, gives for each such hash of a
 document the templates and the diagonals at which they may lie. Each candidate is
 aligned with the template in a band around its diagonal, which reports the share
 of the template's words that are matched in order and the span in the text.
@@ -10,6 +11,7 @@ of the template's words that are matched in order and the span in the text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -114,10 +116,16 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return max(best.values(), key=lambda v: (v[0], v[1] - v[2], -v[1]))
 
 
+def least_run(n: int, coverage: float) -> int:
+    """Words in a row that a match of a template of n words has at least, if its other words are replaced."""
+    missing = n - max(1, math.ceil(coverage * n - 1e-9))
+    return -(-(n - missing) // (missing + 1))
+
+
 class Index:
-    """The inverted index of the templates' kept strings."""
+    """The inverted index of the templates' strings."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         data, offsets = utf8_of(pa.array([templates[n] for n in self.names], pa.string()))
         hashes, _, _, rows = words(data, offsets)
@@ -130,12 +138,19 @@ class Index:
         self.grams = grams[full][order]
         self.template = row[full][order]
         self.at = (full - rows[row[full]])[order]
+        # winnowing may keep no string of these templates' matches
+        sparse = np.array([least_run(len(w), coverage) < GRAM + WINDOW - 1 for w in self.words], dtype=bool)
+        self.always = np.unique(self.grams[sparse[self.template]])
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, int, int, int, int]]:
         """(row, template, matched words, template's words, start byte, end byte) of all candidates."""
         hashes, starts, ends, rows = words(data, offsets)
         grams = all_grams(hashes)
         kept = winnow(grams, rows)
+        if len(self.always):
+            at = np.minimum(np.searchsorted(self.always, grams), len(self.always) - 1)
+            also = np.flatnonzero(self.always[at] == grams)
+            kept = np.union1d(kept, also[also + GRAM <= rows[np.searchsorted(rows, also, side="right")]])
         low, high = np.searchsorted(self.grams, grams[kept], "left"), np.searchsorted(self.grams, grams[kept], "right")
         hit = np.flatnonzero(high > low)
         row_of = np.searchsorted(rows, kept[hit], side="right") - 1
@@ -156,8 +171,8 @@ class Index:
 
 
 @lru_cache(maxsize=4)
-def _index(items: tuple[tuple[str, str], ...]) -> Index:
-    return Index(dict(items))
+def _index(items: tuple[tuple[str, str], ...], coverage: float) -> Index:
+    return Index(dict(items), coverage)
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,7 +188,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
+        index = _index(items, coverage)
         for batch in pieces(batches, text):
             found = [f for f in index.scan(*utf8_of(batch.column(text))) if f[2] >= coverage * f[3]]
             if found:

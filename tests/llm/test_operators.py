@@ -334,6 +334,27 @@ def test_license_scan_finds_spans(spark, none):
     assert license_scan.scan(none).collect() == []
 
 
+def test_license_scan_finds_each_template_anywhere(spark):
+    r, texts = random.Random(12), []
+    filler = lambda n: " ".join("".join(r.choice("bcdfg") for _ in range(6)) for _ in range(n))
+    for name, template in license_scan.TEMPLATES.items():
+        for _ in range(8):
+            texts += [(name, template, f"{template} {filler(5)}"), (name, template, f"{filler(4)} {template} {filler(4)}"), (name, template, f"{filler(5)} {template}"), (name, template, template)]
+    df = spark.createDataFrame([(i, t[2]) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(x.doc_id, x.license): x for x in license_scan.scan(df).collect()}
+    for i, (name, template, text) in enumerate(texts):
+        x = got[i, name]
+        assert x.coverage == 1 and text.encode()[x.start_byte : x.end_byte].decode() in template
+
+
+def test_license_scan_of_short_templates_with_a_word_replaced():
+    # three words in a row are left, so winnowing may keep none of their strings
+    index = license_scan.Index({"MIT": license_scan.TEMPLATES["MIT"]})
+    for i in range(50):
+        found = list(index.scan(*textkit.utf8_of(pa.array([f"x{i} released under the w{i} license y{i}"]))))
+        assert [(f[1], f[2], f[3]) for f in found] == [("MIT", 4, 5)]
+
+
 def test_banded_alignment_is_the_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(200):
