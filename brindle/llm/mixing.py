@@ -1,31 +1,38 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows are put in blocks. With a share a of W slots, its block j is
-released at floor(j W / a) and due at ceil((j + 1) W / a); in every slot the earliest
+A source's rows are put in blocks. With a weight w of W in all, its block j is
+released at floor(j W / w) and due at ceil((j + 1) W / w); in every slot the earliest
 due among the released next blocks of all sources goes out. So at any time each
-source has had its share of the slots to within less than one block. The pattern
-repeats every W slots and is worked out for W slots only; a block's slot follows
-from its number by arithmetic, whatever the number of rows.
+source has had its weight's part of the slots to within less than one block. Weights
+are exact integers, so this holds however long a phase is.
 
-When a source runs out, a new phase begins: the shares of those that are left are
-set anew from their weights, with slots, releases and deadlines counted from its
-start. No row is dropped or repeated.
+The number of blocks that each source has had tells all that follows. The driver
+runs through the slots once and keeps these numbers at the start of every piece of
+PIECE slots; tasks work the pieces out again and write the slot of each block.
+
+When a source runs out, a new phase begins: the weights of those that are left
+count alone, with slots, releases and deadlines counted from its start. No row is
+dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+import pickle
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load
 
 BLOCK_ROWS = 16
-#: Slots of a period, and so the finest share.
-PERIOD = 240
+#: Slots that a task works out at once.
+PIECE = 1 << 14
 #: Rows that are numbered together.
 RUN_ROWS = 2048
 #: The default target weight of a source is its number of rows to this power.
@@ -35,7 +42,7 @@ FEW_SOURCES = 256
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, by largest remainders, one at least."""
+    """Whole slots of a period for each source, by largest remainders, one at least; the schedule itself takes exact weights."""
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
@@ -50,21 +57,56 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def pattern(share: Mapping[str, int], period: int) -> list[str]:
-    """Which source has each slot of one period: the released block with the earliest deadline."""
-    wait = [(0, s, 0) for s in sorted(share)]
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportions of the weights."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[p.denominator for p in parts.values()])
+    whole = {s: int(p * unit) for s, p in parts.items()}
+    least = math.gcd(*whole.values())
+    return {s: w // least for s, w in whole.items()}
+
+
+def release(j: int, weight: int, total: int) -> int:
+    return j * total // weight
+
+
+def deadline(j: int, weight: int, total: int) -> int:
+    return -(-(j + 1) * total // weight)
+
+
+def _slots(weight: Mapping[str, int], begin: int, had: Mapping[str, int]) -> Iterator[str]:
+    """Which source has each slot from ``begin`` on, after each had so many: the released block with the earliest deadline."""
+    total = sum(weight.values())
+    wait = [(release(had[s], weight[s], total), s, had[s]) for s in sorted(weight)]
     heapq.heapify(wait)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(period):
+    t = begin
+    while True:
         while wait and wait[0][0] <= t:
             _, s, j = heapq.heappop(wait)
-            heapq.heappush(ready, (-(-(j + 1) * period // share[s]), s, j))
+            heapq.heappush(ready, (deadline(j, weight[s], total), s, j))
         _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < share[s]:
-            heapq.heappush(wait, ((j + 1) * period // share[s], s, j + 1))
-    return out
+        yield s
+        heapq.heappush(wait, (release(j + 1, weight[s], total), s, j + 1))
+        t += 1
+
+
+def pattern(weight: Mapping[str, int], length: int) -> list[str]:
+    """Which source has each of the first slots of a phase."""
+    return [s for s, _ in zip(_slots(weight, 0, dict.fromkeys(weight, 0)), range(length))]
+
+
+@dataclass(frozen=True)
+class Piece:
+    """``length`` slots of a phase that begins at ``slot`` with the blocks ``first``; ``had`` are those since then, up to ``begin``."""
+
+    number: int
+    slot: int
+    weight: dict[str, int]
+    first: dict[str, int]
+    begin: int
+    had: dict[str, int]
+    length: int
 
 
 @dataclass(frozen=True)
@@ -81,30 +123,71 @@ class Phase:
     places: list[int]
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[Phase]:
-    """The schedule of so many blocks of each source; in a phase's last period it ends with the block of a source that runs out."""
-    left, done, slot, number, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, 0, []
+def cut(blocks: Mapping[str, int], weights: Mapping[str, float], size: int = PIECE) -> Iterator[Piece]:
+    """The pieces of the schedule of so many blocks of each source; a phase ends with the last block of a source."""
+    left, done, slot, number = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, 0
     while left:
-        size = max(period, 4 * len(left))
-        share = shares({s: weights[s] for s in left}, size)
-        order = pattern(share, size)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for t, s in enumerate(order):
-            places[s].append(t)
-        # the slot just after each source's last block, had it not been for the others
-        ends = {s: (n - 1) // share[s] * size + places[s][(n - 1) % share[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
-        for s in left:
-            full, rest = divmod(length, size)
-            went = full * share[s] + sum(t < rest for t in places[s])
-            out.append(Phase(s, number, done[s], done[s] + went, slot, share[s], size, places[s]))
-            done[s] += went
-            left[s] -= went
+        weight, first = exact({s: weights[s] for s in left}), {s: done[s] for s in left}
+        had = dict.fromkeys(left, 0)
+        begin, before, t = 0, dict(had), 0
+        for t, s in enumerate(_slots(weight, 0, had), 1):
+            had[s] += 1
+            over = had[s] == left[s]
+            if over or t - begin == size:
+                yield Piece(number, slot, weight, first, begin, before, t - begin)
+                begin, before = t, dict(had)
+            if over:
+                break
+        for s, n in had.items():
+            done[s] += n
+            left[s] -= n
         left = {s: n for s, n in left.items() if n}
-        slot, number = slot + length, number + 1
+        slot, number = slot + t, number + 1
+
+
+def placed(piece: Piece) -> list[Phase]:
+    """The blocks of each source in a piece and their slots."""
+    places: dict[str, list[int]] = {s: [] for s in piece.weight}
+    for t, s in zip(range(piece.length), _slots(piece.weight, piece.begin, piece.had)):
+        places[s].append(t)
+    out = []
+    for s, at in places.items():
+        first = piece.first[s] + piece.had[s]
+        out.append(Phase(s, piece.number, first, first + len(at), piece.slot + piece.begin, len(at), piece.length, at))
     return out
 
 
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[Phase]:
+    """The whole schedule of so many blocks of each source, piece by piece."""
+    return [p for piece in cut(blocks, weights) for p in placed(piece)]
+
+
+def _timetable(spark: SparkSession, blocks: Mapping[str, int], weights: Mapping[str, float]) -> DataFrame:
+    """(_source, block, phase, slot, release, deadline), one row per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("piece").to_pylist():
+                piece = pickle.loads(packed)
+                total = sum(piece.weight.values())
+                for p in placed(piece):
+                    js, w = range(p.first - piece.first[p.source], p.end - piece.first[p.source]), piece.weight[p.source]
+                    columns = {
+                        "_source": pa.array([p.source] * len(js), pa.string()),
+                        "block": pa.array(range(p.first, p.end), pa.int64()),
+                        "phase": pa.array([p.number] * len(js), pa.int32()),
+                        "slot": pa.array([p.slot + at for at in p.places], pa.int64()),
+                        "release": pa.array([piece.slot + release(j, w, total) for j in js], pa.int64()),
+                        "deadline": pa.array([piece.slot + deadline(j, w, total) for j in js], pa.int64()),
+                    }
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    pieces = [(pickle.dumps(piece),) for piece in cut(blocks, weights, PIECE)]
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = spark.createDataFrame(pieces, "piece binary").repartition(max(1, min(parts, len(pieces))))
+    return dealt.mapInArrow(run, "_source string, block bigint, phase int, slot bigint, release bigint, deadline bigint")
+
+
 def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, source, block, phase, slot, release, deadline, position), one row per input row.
 
@@ -114,17 +197,17 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, key:
     the key None. Repeated rows each have a place. Without ``weights`` a source's
     weight is its number of rows to the power TEMPERATURE; a source that has no
     weight, or one of 0 or less, gets the smallest positive one. An empty table has
-    no rows. The driver holds one row a source and phase.
+    no rows. The driver holds a number a source for each phase and each PIECE slots.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("_source"))
     counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     given = {NO_SOURCE if s is None else s: w for s, w in (weights or {}).items()}
     least = min([w for w in given.values() if w > 0], default=1.0)
     target = {s: given.get(s, 0) if given.get(s, 0) > 0 else least for s in counts} if weights else {s: n**TEMPERATURE for s, n in counts.items()}
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, target)
-
     spark = docs.sparkSession
-    # tables of a row a source are broadcast as long as sources are few
+    slots = _timetable(spark, {s: -(-n // block_rows) for s, n in counts.items()}, target)
+
+    # a table of a row a source is broadcast as long as sources are few
     side = F.broadcast if len(counts) <= FEW_SOURCES else lambda df: df
     sizes = spark.createDataFrame([(s, max(1, n // RUN_ROWS)) for s, n in counts.items()], "_source string, _runs long")
     rows = rows.join(side(sizes), "_source")
@@ -133,25 +216,17 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, key:
     starts = rows.groupBy("_source", "_run").agg(F.count("*").alias("_n")).select("_source", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_source", "_run").orderBy(F.xxhash64(key, F.lit(1)), key)
     rows = rows.withColumn("_at", F.row_number().over(within) - 1).join(starts, ["_source", "_run"]).withColumn("_index", F.col("_start") + F.col("_at"))
-    rows = rows.withColumn("block", F.floor(F.col("_index") / block_rows))
-
-    table = [(p.source, p.number, p.first, p.end, p.slot, p.share, p.period, p.places) for p in plan if p.end > p.first]
-    named = "_source string, phase int, _first long, _end long, _slot long, _share long, _period long, _places array<int>"
-    parts = spark.createDataFrame(table, named).groupBy("_source").agg(F.collect_list(F.struct("phase", "_first", "_end", "_slot", "_share", "_period", "_places")).alias("_phases"))
-    rows = rows.join(side(parts), "_source")
-    rows = rows.withColumn("_p", F.filter("_phases", lambda p: (p["_first"] <= F.col("block")) & (F.col("block") < p["_end"]))[0])
-    j, share, period = F.col("block") - F.col("_p._first"), F.col("_p._share"), F.col("_p._period")
-    floor_div: Column = F.floor(j * period / share + 1e-9)
-    slot = F.col("_p._slot") + F.floor(j / share) * period + F.element_at("_p._places", (j % share).cast("int") + 1)
-    return rows.select(
-        F.col(key),
+    rows = rows.select(F.col(key).alias("_key"), "_source", "_index", F.floor(F.col("_index") / block_rows).cast("long").alias("block"))
+
+    return rows.join(slots, ["_source", "block"]).select(
+        F.col("_key").alias(key),
         F.nullif("_source", F.lit(NO_SOURCE)).alias(source),
-        F.col("block").cast("long").alias("block"),
-        F.col("_p.phase").alias("phase"),
-        slot.cast("long").alias("slot"),
-        (F.col("_p._slot") + floor_div).cast("long").alias("release"),
-        (F.col("_p._slot") + F.ceil((j + 1) * period / share - 1e-9)).cast("long").alias("deadline"),
-        (slot * block_rows + F.col("_index") % block_rows).cast("long").alias("position"),
+        "block",
+        "phase",
+        "slot",
+        "release",
+        "deadline",
+        (F.col("slot") * block_rows + F.col("_index") % block_rows).cast("long").alias("position"),
     )
 
 

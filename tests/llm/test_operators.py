@@ -311,6 +311,30 @@ def test_phases_place_every_block_once():
     assert sorted(slots) == list(range(sum(blocks.values())))
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.999, "b": 0.001}, {"big": (1 / 3 * 1e7) ** 0.5, **{f"s{i}": (2 / 57 * 1e7) ** 0.5 for i in range(19)}}])
+def test_mixing_stays_within_a_block_of_the_weights(spark, monkeypatch, weights):
+    whole = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    blocks, had = {s: int(30_000 * w) + 9 for s, w in whole.items()}, dict.fromkeys(weights, 0)
+    order = {p.slot + at: p.source for p in mixing.phases(blocks, weights) if p.number == 0 for at in p.places}
+    assert len(order) > 25_000 and sorted(order) == list(range(len(order)))
+    for t in range(len(order)):
+        had[order[t]] += 1
+        assert abs(had[order[t]] - whole[order[t]] * (t + 1)) < 1
+        if t % 500 == 0 or t == len(order) - 1:
+            assert all(abs(had[s] - whole[s] * (t + 1)) < 1 for s in had)
+    # release and deadline follow from the weights too, over pieces of any size
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in blocks.items() for _ in range(n // 30 + 1))], "doc_id long, source string")
+    for r in mixing.scheduled(rows, weights, block_rows=1).where("phase = 0").collect():
+        assert r.release == r.block / whole[r.source] // 1 and r.deadline == -(-(r.block + 1) / whole[r.source] // 1) and r.release <= r.slot < r.deadline
+
+
+def test_pieces_of_any_size_give_the_same_schedule():
+    blocks, weights = {"a": 400, "b": 33, "c": 1, "e": 57}, {"a": 3.3, "b": 1, "c": 1e-9, "e": 2}
+    placed = [{(p.source, p.first + i): (p.number, p.slot + at) for piece in mixing.cut(blocks, weights, size) for p in mixing.placed(piece) for i, at in enumerate(p.places)} for size in (1, 7, 10**6)]
+    assert placed[0] == placed[1] == placed[2] and len(placed[0]) == 491
+
+
 def test_mixing_keeps_all_rows_in_slots(spark, docs, none):
     many = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('s', id % 5) END AS source", "0 AS slot", "0 AS block")
     got = mixing.scheduled(many, {"hot": 1, "s0": 1, None: 1}, block_rows=8).toPandas()
