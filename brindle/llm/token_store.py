@@ -46,6 +46,9 @@ CACHED_WORDS = 1_000_000
 CACHED_CHUNKS = 300_000
 #: Texts that the quick path takes: letters whose lower case and composed form are plain, then ASCII punctuation.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=>?@\[\]^_`{|}~*]*)")
+#: White space is what the tokenizer's \s matches; Python's also has U+001C to U+001F, which have ids.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class WordEncoder:
@@ -91,7 +94,8 @@ class WordEncoder:
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         seen, make = self.chunks.get, self.chunk
-        return b"".join([seen(chunk) or make(chunk) for chunk in text.split()])
+        chunks = CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
+        return b"".join([seen(chunk) or make(chunk) for chunk in chunks])
 
     def text(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<u4").tolist()

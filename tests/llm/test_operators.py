@@ -143,6 +143,17 @@ def test_word_encoder_agrees_with_the_library():
         assert made.text(t) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_encoder_splits_at_the_tokenizers_white_space_only():
+    from tokenizers import Tokenizer
+
+    config = token_store.configuration()
+    tok, made, r = Tokenizer.from_str(config), token_store.WordEncoder(config), random.Random(4)
+    odd = [chr(c) for c in [*range(0x20), *range(0x7F, 0xA1), 0xAD, 0x180E, 0x200B, 0xFEFF]] + [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"a{c}b" for c in odd] + [c for c in odd] + ["hello\x1fworld"] + ["".join(r.choice(["ab", "Z", "é", " ", "!", "漢", r.choice(odd)]) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    for t in texts:
+        assert made.text(t) == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_files_open_only_the_frames_asked_for(tmp_path):
     import pyarrow.fs as pafs
 
