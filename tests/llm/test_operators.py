@@ -250,6 +250,20 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     assert not any(got[i]["rejected"] for i in (2000, 2001, 2002)) and got[2002]["perplexity"] is None
 
 
+def test_quality_judges_other_scripts_by_their_letters(spark):
+    r, rows, labels = random.Random(13), [], []
+    scripts = {"ru": (0x430, 32, 5), "el": (0x3B1, 25, 5), "ar": (0x627, 20, 4), "hi": (0x915, 37, 4), "zh": (0x4E00, 20_000, 2), "ko": (0xAC00, 11_172, 2)}
+    for n, (lang, (first, size, length)) in enumerate(scripts.items()):
+        letter = lambda: chr(first + r.randrange(size))
+        words = ["".join(letter() for _ in range(length)) for _ in range(40)]
+        for i in range(60):
+            rows.append((n * 1000 + i, " ".join(r.choice(words) for _ in range(100)), lang, "s", 0))
+            labels += [(n * 1000 + i, 1, 0)] if i % 2 else []
+        rows += [(n * 1000 + 900 + i, " ".join("".join(letter() for _ in range(length)) for _ in range(100)), lang, "s", 0) for i in range(10)]
+    got = rows_of(quality_lm.judged(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert {i for i, x in got.items() if x["rejected"]} == {i for i in got if i % 1000 >= 900}
+
+
 def test_quality_without_rows_or_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_lm.judged(none, labels).collect() == []
