@@ -264,6 +264,19 @@ def test_quality_judges_other_scripts_by_their_letters(spark):
     assert {i for i, x in got.items() if x["rejected"]} == {i for i in got if i % 1000 >= 900}
 
 
+def test_quality_judges_every_language(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "MOST_LANGUAGES", 2)
+    r = random.Random(14)
+    words = ["the", "water", "stone", "runs", "under", "bridge", "and", "light", "over", "hill"]
+    langs = ["a", "b", "c", "d", None]
+    rows = [(n * 1000 + i, " ".join(r.choice(words) for _ in range(120)), lang, "s", 0) for n, lang in enumerate(langs) for i in range(10 + n)]
+    rows += [(n * 1000 + 900, "".join(r.choice("#$%&*XQZ!") for _ in range(300)), lang, "s", 0) for n, lang in enumerate(langs)] + [(9000, "the water", "untrusted", "s", 0)]
+    labels = spark.createDataFrame([(x[0], 1, 0) for x in rows if x[0] % 1000 < 900 and x[0] != 9000], "doc_id long, quality int, toxic int")
+    got = rows_of(quality_lm.judged(spark.createDataFrame(rows, DOCS), labels))
+    assert len(got) == len(rows) and {i for i, x in got.items() if x["rejected"]} == {n * 1000 + 900 for n in range(5)}
+    assert got[9000]["perplexity"] is None
+
+
 def test_quality_without_rows_or_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_lm.judged(none, labels).collect() == []
