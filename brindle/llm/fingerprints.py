@@ -6,6 +6,8 @@ Each part is hashed to a wide vector and the vectors of a text are added, modulo
 2**32 in the first lanes and 2**16 in the others. So the order of the parts is of
 no account, texts with the same parts have the same fingerprint, and a part is
 inserted or deleted by one addition or subtraction without the rest of the text.
+Line ends belong to no part, so the last paragraph is like any other; each adds a
+vector of its own to the first lanes.
 
 The first lanes are uniform words and serve equality. The others are sums of +1
 and -1; the mean square of the difference of two such sums estimates how many
@@ -33,24 +35,34 @@ SIGNS = 256  # lanes modulo 2**16
 WORDS_A_PART = 16
 _EQUAL_SALT = stream64(101, WIDE // 2)
 _SIGN_SALT = stream64(102, SIGNS // 64)
+_LINE_END = stream64(103, WIDE // 2).view("<u4")
 #: number of parts, equality lanes, sign lanes
 LAYOUT = np.dtype([("parts", "<u4"), ("wide", "<u4", (WIDE,)), ("signs", "<i2", (SIGNS,))])
 
 
-def part_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the parts of all rows, and for n rows the n + 1 part indexes at which rows begin."""
+def part_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the parts of all rows, for n rows the n + 1 part indexes at which rows begin, and each row's line ends."""
     starts, ends, rows = words_of(data, offsets)
-    cut = np.flatnonzero(hash_ranges(data, starts, ends) % U64(WORDS_A_PART) == 0) + 1
+    line_end = data == 0x0A
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
-    first[np.flatnonzero(data == 0x0A) + 1] = True
-    first[starts[cut[cut < len(starts)]]] = True
+    first[np.flatnonzero(line_end) + 1] = True
+    # a word never cuts the paragraph after its own
+    paragraph = np.cumsum(first)[starts]
+    cut = np.flatnonzero(hash_ranges(data, starts, ends) % U64(WORDS_A_PART) == 0) + 1
+    cut = cut[cut < len(starts)]
+    first[starts[cut[paragraph[cut] == paragraph[cut - 1]]]] = True
     begins = np.flatnonzero(first[:-1])
-    return hash_ranges(data, begins, np.concatenate([begins[1:], [len(data)]]).astype(np.int64)), np.searchsorted(begins, offsets)
+    stops = np.concatenate([begins[1:], [len(data)]]).astype(np.int64)[: len(begins)]
+    stops -= line_end[stops - 1]
+    full = stops > begins
+    begins, stops = begins[full], stops[full]
+    lines = np.concatenate([[0], np.cumsum(line_end)])[offsets]
+    return hash_ranges(data, begins, stops), np.searchsorted(begins, offsets), np.diff(lines)
 
 
-def add_up(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The fingerprints, as LAYOUT records, of rows whose parts have the given hashes."""
+def add_up(hashes: np.ndarray, rows: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The fingerprints, as LAYOUT records, of rows whose parts have the given hashes and that have so many line ends."""
     out = np.zeros(len(rows) - 1, dtype=LAYOUT)
     out["parts"] = np.diff(rows)
     full = np.flatnonzero(np.diff(rows))
@@ -62,6 +74,8 @@ def add_up(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
             bits = np.unpackbits(mix64(hashes[:, None] ^ _SIGN_SALT[None, :]).view(np.uint8), axis=1)
             ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
             out["signs"][full] = (2 * ones - np.diff(rows)[full][:, None]).astype(np.int16)
+    with np.errstate(over="ignore"):
+        out["wide"] += lines.astype(np.uint32)[:, None] * _LINE_END[None, :]
     return out
 
 

@@ -523,6 +523,20 @@ def test_fingerprints_are_homomorphic_and_blind_to_order():
     assert fingerprints.read(fingerprints.written(a[None])[0])[0] == a
 
 
+def test_fingerprints_without_a_final_line_end():
+    r, base = random.Random(15), fingerprints.fingerprints
+    assert base(["A\nB"])[0] == base(["B\nA"])[0] != base(["A\nB\n"])[0]
+    assert fingerprints.combined(base(["A"]), base(["\nB"]))[0] == base(["A\nB"])[0]
+    for i in range(40):
+        lines = [r.choice(["", " ", "\t"]) + prose(r.randrange(10**6), r.randint(0, 40)) for _ in range(r.randint(1, 6))]
+        texts = ["\n".join(lines), "\n".join(reversed(lines)), "\n".join(lines[:-1]), "\n" + lines[-1]]
+        # rows of one batch have no influence on each other
+        alone = np.concatenate([base([t]) for t in texts])
+        assert (base(texts) == alone).all() and alone[0] == alone[1]
+        if len(lines) > 1:
+            assert fingerprints.combined(alone[2:3], alone[3:])[0] == alone[0] and fingerprints.combined(alone[:1], alone[3:], -1)[0] == alone[2]
+
+
 def test_fingerprints_of_few_rows(spark, none):
     assert fingerprints.with_next(none).collect() == []
     one = fingerprints.with_next(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()[0]
