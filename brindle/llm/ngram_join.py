@@ -322,12 +322,33 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def _sets_of(docs: DataFrame, text: str, width: int, wanted: DataFrame, owners: DataFrame, key: str, space: Workspace, name: str) -> DataFrame:
-    """The whole sets of the wanted classes, each from its smallest document."""
+    """The whole sets of the wanted classes, each from its smallest document, or if all its keys are null from any of its rows."""
     wanted = space.table(wanted.distinct().join(owners, "sid"), f"{name}-keys")
-    owned = wanted.select(F.col(key).cast("long").alias("_key"), "sid")
+    owned = wanted.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), "sid")
     found = _filtered_sets(docs, text, width, wanted, key).join(owned, ["_key", "sid"], "left_semi").select("sid", "tokens")
+    nameless = wanted.where(F.col(key).isNull()).select("sid")
+    if not nameless.isEmpty():
+        found = found.union(_nameless_sets(docs, text, width, nameless, key))
     return space.table(found, name)
 
 
+def _nameless_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame, key: str) -> DataFrame:
+    """(sid, tokens) of the given classes, once each, from the rows whose key is null."""
+    may_have = membership(wanted, "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            sets = shingles(*utf8_of(batch.column(text)), width)
+            sids = set_ids(sets).view(np.int64)
+            keep = [i for i in np.flatnonzero(may_have(sids)).tolist() if len(sets[i])]
+            if keep:
+                at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in keep])])
+                flat = np.concatenate([sets[i] for i in keep]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sids[keep]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))], ["sid", "tokens"])
+
+    rows = docs.where(F.col(key).isNull()).select(text).mapInArrow(run, "sid bigint, tokens array<bigint>")
+    return rows.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "tokens")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(load(spark, sf_dir, "documents"))

@@ -110,6 +110,26 @@ def test_ngram_join_of_nothing_and_of_repeated_rows(spark, none):
     assert got == sorted([(3, 3), (3, 3), (None, 3), (4, 4)], key=str)
 
 
+def test_ngram_join_links_through_texts_without_a_key(spark):
+    def changed(text, *at):
+        words = text.split()
+        for i in at:
+            words[i] = f"w{i}"
+        return " ".join(words)
+
+    rows, want = [], []
+    for n in range(12):
+        base = prose(700 + n, 80)
+        # the first and the last are similar to the one between alone
+        rows += [(10 * n + 1, base), (None, changed(base, 20, 40)), (10 * n + 2, changed(base, 20, 40, 10, 60))]
+        want += [(10 * n + 1, 10 * n + 1), (None, 10 * n + 1), (10 * n + 2, 10 * n + 1)]
+        lone = prose(800 + n, 80)
+        rows += [(None, lone), (None, lone), (None, changed(lone, 30))]
+        want += [(None, None)] * 3
+    got = [(r.doc_id, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_shingles_do_not_cross_rows():
     sets = textkit.shingles(*textkit.utf8_of(pa.array(["a b c d e", "f a b c d e", None, "a b"])))
     assert [len(s) for s in sets] == [1, 2, 0, 1] and set(sets[0]) < set(sets[1])
