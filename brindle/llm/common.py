@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,19 +10,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes that Spark hands to a Python worker at a time; its default is too much for several workers an executor.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of an Arrow batch to BATCH_BYTES, unless somebody has set another than Spark's own."""
+    name, own = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name, own) == own:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder is made and set.
+    Where that is unset, local tests get a temporary folder; on a cluster that is an error.
     """
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there:
         return there.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -31,6 +46,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -40,10 +56,19 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
-        """Deletes one written table, or all of them; nothing may read them afterwards."""
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *names: str) -> None:
+        """Deletes these tables; nothing may read them afterwards."""
+        for name in names:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, as a result reads no others."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for there in fs.listStatus(at) if fs.exists(at) else ():
+            if there.getPath().getName() not in names:
+                fs.delete(there.getPath(), True)
 
 
 def utf8_bytes(text: str) -> Column:

@@ -24,6 +24,7 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         edges = space.table(small, f"{name}-{step}")
+        space.drop(f"{name}-{step - 1}")
         after = _sum(edges)
         if after == before:
             break

@@ -7,13 +7,15 @@ Exact, up to collisions of 64-bit hashes, without a pair for each two members of
    first. Two linked sets share one of the first n - ceil(t n) + 1 shingles of
    each, so only those are dealt out; a shingle that one class alone has there
    goes no further. The number of them that a pair shares bounds its overlap.
-3. Grouping: in each list of classes that share a shingle, all are compared with
+3. Shingles that the very same classes share, as those of one passage, become one
+   token that counts as many times.
+4. Grouping: in each list of classes that share a token, all are compared with
    the list's most central class. That puts most similar classes in one group.
-4. Token-group matrix: rows (shingle, group) stand for each group's token union. A class whose shared
-   shingles with a group can't reach the overlap that some member would need
+5. Token-group matrix: rows (token, group) stand for each group's token union. A class whose shared
+   tokens with a group can't reach the overlap that some member would need
    doesn't open that group. Qualifying groups are opened: the class is compared
    with the group's members, in blocks of bounded size, until a link is found.
-5. Components of all links; a document's component is its smallest document.
+6. Components of all links; a document's component is its smallest document.
 
 A link that is never looked for is one between two classes that are in the same
 group already, which cannot change any component.
@@ -27,6 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +37,16 @@ from .common import Workspace, load
 from .components import components
 from .fixed_tables import emitted, merged
 from .membership import membership
-from .textkit import U64, mix64, pieces, shingles, stream64, utf8_of
+from .textkit import U64, mix64, pieces, shingles, stream64, tidy, utf8_of
 
 SKETCH = 1 << 20
-MEMBERS_A_CELL = 512
+#: Shingles of the members that a task holds at a time; one larger member is a cell of its own.
+SHINGLES_A_CELL = 1 << 19
 QUERIES_A_CELL = 4096
 _SEEN_LIMIT = 1 << 20
+#: A token's list of more classes than this goes on as it streams by and is not merged with equal ones.
+LONG_LIST = 1 << 16
+_LIST_SALT, _LONG_SALT = stream64(47, 2)
 
 
 def set_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -56,11 +63,16 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def row_id(key: str, text: str) -> Column:
+    """A hash of a row's key and text."""
+    return F.xxhash64(key, text)
+
+
 def _scan(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Rows (key, n, sid) of all documents, and the parts of the sketch of their shingles."""
+    """Rows (key, rid, n, sid) of all documents, and the parts of the sketch of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "n", "sid", "block", "packed"]
+        names = [key, "rid", "n", "sid", "block", "packed"]
         counts = np.zeros(SKETCH, dtype=np.uint32)
         none = lambda k, n: pa.nulls(n, k)
         kind = pa.int64()
@@ -71,15 +83,16 @@ def _scan(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 counts += np.bincount((np.concatenate(sets) >> U64(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets).view(np.int64)), none(pa.int32(), n), none(pa.binary(), n)], names
+                [batch.column(key), batch.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets).view(np.int64)), none(pa.int32(), n), none(pa.binary(), n)], names
             )
         if counts.any():
             parts = emitted(counts)
             yield pa.RecordBatch.from_arrays(
-                [none(kind, len(parts)), none(pa.int64(), len(parts)), none(pa.int64(), len(parts)), pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names
+                [none(kind, len(parts)), *[none(pa.int64(), len(parts))] * 3, pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names
             )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n bigint, sid bigint, block int, packed binary")
+    rows = docs.select(key, text, row_id(key, text).alias("rid"))
+    return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, rid bigint, n bigint, sid bigint, block int, packed binary")
 
 
 def _heavy(sketch: np.ndarray) -> np.ndarray:
@@ -117,40 +130,59 @@ def _firsts(docs: DataFrame, text: str, width: int, share: Fraction, heavy: np.n
     return docs.select(text).mapInArrow(run, "sid bigint, n bigint, last bigint, tokens array<bigint>")
 
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    """The distinct rows (token, sid, length) of tokens that several classes have; rows stream by in order.
+def _lists(tokens: DataFrame) -> DataFrame:
+    """(list, sid, length) for each token that several classes have; rows (token, sid) stream by in order.
 
-    ``length`` is that of the token's list as far as one batch shows it.
+    ``list`` is a hash of the token's classes, so tokens with the same classes have
+    the same one. ``length`` is the number of classes. A list of more than LONG_LIST
+    classes is named by its token and has the length seen so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = sid = None
-        several = False  # the last token is known to have several classes, and its rows are out
-        for batch in batches:
-            t, s = (batch.column(c).to_numpy() for c in ("token", "sid"))
-            if not len(t):
+        token, sid = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long: tuple | None = None  # the token whose list goes on as it streams by, and its length so far
+        for batch in _and_end(batches):
+            if batch is not None:
+                token, sid = (np.concatenate([held, batch.column(c).to_numpy()]) for held, c in ((token, "token"), (sid, "sid")))
+            if not len(token):
                 continue
-            if token is not None:
-                t, s = np.concatenate([[token], t]), np.concatenate([[sid], s])
-            fresh = np.ones(len(t), dtype=bool)
-            fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            t, s = t[fresh], s[fresh]
-            same = t[1:] == t[:-1]
-            out = np.zeros(len(t), dtype=bool)
-            out[1:] |= same
-            out[:-1] |= same
-            if several:
-                out |= t == token
-                out[0] = False
-            several = bool(out[-1]) or (several and len(t) == 1)
-            token, sid = t[-1], s[-1]
-            if out.any():
-                begin = np.flatnonzero(np.concatenate([[True], ~same]))
-                length = np.diff(np.concatenate([begin, [len(t)]]))
-                length = np.repeat(length, length).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(length[out])], ["token", "sid", "length"])
-
-    return tokens.mapInArrow(run, "token bigint, sid bigint, length int")
+            fresh = np.ones(len(token), dtype=bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+            token, sid = token[fresh], sid[fresh]
+            if long is not None:
+                more = int(np.searchsorted(token, long[0], "right"))
+                # the last row is kept back, so that a repeated one is seen as such
+                out = more if more < len(token) or batch is None else more - 1
+                yield _list_rows(np.full(out, long[2]), sid[:out], np.full(out, long[1] + out))
+                long = (long[0], long[1] + out, long[2]) if out == more - 1 and batch is not None else None
+                token, sid = token[out:], sid[out:]
+                if long is not None or not len(token):
+                    continue
+            edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            done = len(edges) - 1 if batch is None else len(edges) - 2  # lists that are complete
+            sizes = np.diff(edges[: done + 1])
+            if done:
+                end = edges[done]
+                with np.errstate(over="ignore"):
+                    named = mix64(np.add.reduceat(mix64(sid[:end].view(U64) ^ _LIST_SALT), edges[:done])).view(np.int64)
+                several = np.repeat(sizes > 1, sizes)
+                yield _list_rows(np.repeat(named, sizes)[several], sid[:end][several], np.repeat(sizes, sizes)[several])
+                token, sid = token[end:], sid[end:]
+            if batch is not None and len(token) > LONG_LIST:
+                out, name = len(token) - 1, mix64(token[:1].view(U64) ^ _LONG_SALT).view(np.int64)[0]
+                yield _list_rows(np.full(out, name), sid[:out], np.full(out, out))
+                long, token, sid = (token[0], out, name), token[out:], sid[out:]
+
+    return tokens.mapInArrow(run, "list bigint, sid bigint, length bigint")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from tidy(batches)
+    yield None
+
+
+def _list_rows(name: np.ndarray, sid: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in (name, sid, length)], ["list", "sid", "length"])
 
 
 class _Bound:
@@ -171,32 +203,54 @@ class _Bound:
         return (F.least(m, n) * self.b) >= (F.greatest(m, n) * self.a)
 
 
-def _filtered_sets(docs: DataFrame, text: str, width: int, keys: DataFrame, key: str) -> DataFrame:
-    """(_key, sid, tokens) of the documents with the given keys and perhaps a few more, by a bit set of fixed size."""
-    may_have = membership(keys, key)
+def _texts_of(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame, owners: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """(sid, packed) with the compressed texts of the wanted classes, each from one of its documents, and perhaps a few more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
-            keep = may_have(batch.column("_key").to_numpy())
-            if keep.any():
-                batch = batch.filter(pa.array(keep))
-                sets = shingles(*utf8_of(batch.column(text)), width)
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_key"), pa.array(set_ids(sets).view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))], ["_key", "sid", "tokens"]
-                )
+    The rows are picked by a bit set of fixed size where they are read, and name their
+    class themselves, so no text is moved to find it. A row that occurs many times
+    comes once a task.
+    """
+    may_have = membership(wanted.distinct().join(owners, "sid"), "rid")
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), text).mapInArrow(run, "_key bigint, sid bigint, tokens array<bigint>")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        pack = zstandard.ZstdCompressor(level=3)
 
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = may_have(batch.column("rid").to_numpy())
+                if keep.any():
+                    yield batch.filter(pa.array(keep))
 
-def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Links (a, b): for each query class (x, g) one linked member (g, y) in each cell of g, if there is one.
+        for batch in pieces(kept(), "text"):
+            sids, texts = set_ids(shingles(*utf8_of(batch.column("text")), width)).view(np.int64).tolist(), batch.column("text")
+            fresh = [i for i, sid in enumerate(sids) if sid not in seen and not seen.add(sid)]
+            yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in fresh], pa.int64()), pa.array([pack.compress((texts[i].as_py() or "").encode()) for i in fresh], pa.binary())], ["sid", "packed"])
+            if len(seen) >= _SEEN_LIMIT:
+                seen.clear()
+
+    rows = docs.select(row_id(key, text).alias("rid"), F.col(text).alias("text"))
+    return space.table(rows.mapInArrow(pick, "sid bigint, packed binary"), name)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the column text in place of the last, packed; a few at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [unpack.decompress(p).decode() for p in part.column("packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.large_string())], [*part.schema.names[:-1], "text"])
+
+
+def _opened(queries: DataFrame, members: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """Links (a, b): for each query class (x, g) one linked member (g, y, n) in each cell of g, if there is one.
 
     A group's members and queries are dealt into cells of bounded size; a task
-    holds one cell's members at a time while its queries stream by.
+    holds one cell's members at a time while its queries stream by. Compressed texts
+    are moved, as they are smaller than their sets.
     """
-    sizes = members.groupBy("g").agg(F.ceil(F.count("*") / MEMBERS_A_CELL).cast("int").alias("ms"))
+    sizes = members.groupBy("g").agg(F.ceil(F.sum("n") / SHINGLES_A_CELL).cast("int").alias("ms"))
     asked = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES_A_CELL).cast("int").alias("qs"))
     cells = sizes.join(asked, "g")
     left = members.join(cells, "g").select(
@@ -206,27 +260,28 @@ def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame, share: Frac
         "g", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"), F.pmod(F.hash("x"), F.col("qs")).alias("q"), F.lit(1).alias("role"), F.col("x").alias("sid")
     )
     parts = max(2, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = left.unionByName(right).join(sets, "sid").repartition(parts, "g", "m", "q").sortWithinPartitions("g", "m", "q", "role")
+    rows = left.unionByName(right).join(texts, "sid").repartition(parts, "g", "m", "q").sortWithinPartitions("g", "m", "q", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, held, index = None, [], [], None
-        for batch in batches:
+        for batch in pieces(_unpacked(batches), "text"):
             found = []
-            flat = batch.column("tokens")
-            values, at = flat.values.to_numpy().view(U64), flat.offsets.to_numpy()
-            for i, (g, m, q, role, sid) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "m", "q", "role", "sid")), strict=True)):
-                own = values[at[i] : at[i + 1]]
+            sets = shingles(*utf8_of(batch.column("text")), width)
+            for own, g, m, q, role, sid in zip(sets, *(batch.column(c).to_pylist() for c in ("g", "m", "q", "role", "sid")), strict=True):
                 if (g, m, q) != cell:
                     cell, ids, held, index = (g, m, q), [], [], None
                 if role == 0:
                     ids.append(sid)
-                    held.append(own.copy())
+                    held.append(own)
                     continue
                 if index is None:
+                    if not held:
+                        continue
                     tokens = np.concatenate(held)
                     order = np.argsort(tokens, kind="stable")
                     sizes_ = np.array([len(h) for h in held])
                     index = (tokens[order], np.repeat(np.arange(len(held)), sizes_)[order], sizes_)
+                    held = []
                 low, high = np.searchsorted(index[0], own, "left"), np.searchsorted(index[0], own, "right")
                 spans = high - low
                 hits = np.repeat(low - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
@@ -238,45 +293,50 @@ def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame, share: Frac
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("g", "m", "q", "role", "sid", "tokens").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("g", "m", "q", "role", "sid", "packed").mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: Fraction = Fraction(3, 4), space: Workspace | None = None) -> DataFrame:
-    """One row per input row: key, n_shingles, component_id.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: Fraction = Fraction(3, 4), space: Workspace | None = None, with_rows: bool = False) -> DataFrame:
+    """One row per input row: key, n_shingles, component_id and, if asked for, row_id and first_row.
 
     ``component_id`` is the smallest key reachable by links. A document without
     words, be its text null, empty or white space, has 0 shingles and is its own
     component. Repeated rows have equal sets and are linked. A null key stays null
     and isn't a candidate for the smallest. An empty table has no rows; other
-    columns are not read.
+    columns are not read. ``row_id`` is that of row_id(), and ``first_row`` that of the
+    row of the component with the smallest key, null keys last; a document without
+    words is its own.
     """
     space = space or Workspace(docs.sparkSession, "ngram-join")
     scanned = space.table(_scan(docs, key, text, width), "scan")
-    mine = scanned.where("n is not null").select(key, "n", "sid")
+    mine = scanned.where("n is not null").select(key, "rid", "n", "sid")
     heavy = _heavy(merged(scanned.where("block is not null"), "<u4", np.add, SKETCH))
 
     firsts = space.table(_firsts(docs, text, width, share, heavy), "firsts")
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tokens = firsts.select(F.explode("tokens").alias("token"), "sid").repartition(parts, "token").sortWithinPartitions("token", "sid")
-    shared = space.table(_shared(tokens), "shared")
+    shared = _lists(tokens).groupBy("list", "sid").agg(F.count("*").alias("times"), F.max("length").alias("length"))
+    shared = space.table(shared, "shared")
 
     facts = firsts.select("sid", "n", "last").dropDuplicates(["sid"])
-    about = shared.groupBy("sid").agg(F.count("*").alias("several"), F.sum("length").alias("_total"))
+    about = shared.groupBy("sid").agg(F.sum("times").alias("several"), F.sum(F.col("times") * F.col("length")).alias("_total"))
     about = space.table(about.join(facts, "sid").select("sid", "several", "n", "last", (F.col("_total") / F.col("n")).cast("float").alias("central")), "about")
     space.drop("firsts")  # the largest table; what is needed of it is in the two others
 
     bound = _Bound(share)
-    known = shared.select("token", "sid").join(about.select("sid", "central"), "sid")
-    leaders = known.groupBy("token").agg(F.max(F.struct("central", "sid")).alias("_lead")).select("token", F.col("_lead.sid").alias("g"))
-    star = shared.select("token", "sid").join(leaders, "token").where("sid <> g").groupBy("sid", "g").agg(F.count("*").alias("common"))
+    known = shared.select("list", "sid").join(about.select("sid", "central"), "sid")
+    # a table of its own, so that the join can split a list of very many classes
+    leaders = space.table(known.groupBy("list").agg(F.max(F.struct("central", "sid")).alias("_lead")).select("list", F.col("_lead.sid").alias("g")), "leaders")
+    star = shared.select("list", "sid", "times").join(leaders, "list").where("sid <> g").groupBy("sid", "g").agg(F.sum("times").alias("common"))
     x, y = about.select("sid", F.col("n").alias("xn"), F.col("last").alias("xlast")), about.select(F.col("sid").alias("g"), F.col("n").alias("yn"), F.col("last").alias("ylast"))
     xn, yn = F.col("xn"), F.col("yn")
     behind = F.when(F.col("xlast") < F.col("ylast"), bound.rest(xn)).when(F.col("xlast") > F.col("ylast"), bound.rest(yn)).otherwise(F.greatest(bound.rest(xn), bound.rest(yn)))
     star = star.join(x, "sid").join(y, "g").where(bound.sizes(xn, yn) & (F.col("common") >= bound.overlap(xn, yn) - behind))
-    star = space.table(star.select(F.col("sid").alias("x"), "g"), "star")
-    owners = mine.where("n > 0").groupBy("sid").agg(F.min(key).alias(key))
-    sets = _sets_of(docs, text, width, star.select(F.col("x").alias("sid")).union(star.select("g")), owners, key, space, "sets-1")
-    first_links = space.table(_opened(star, star.select("g", F.col("g").alias("y")).distinct(), sets, share), "links-1")
+    star = space.table(star.select(F.col("sid").alias("x"), "g", F.col("yn").alias("n")), "star")
+    owners = mine.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"))
+    texts = _texts_of(docs, key, text, width, star.select(F.col("x").alias("sid")).union(star.select("g")), owners, space, "texts-1")
+    first_links = space.table(_opened(star.select("x", "g"), star.select("g", F.col("g").alias("y"), "n").distinct(), texts, width, share), "links-1")
+    space.drop("star", "leaders", "texts-1")
     groups = components(first_links, space, "groups")
 
     weight = groups.groupBy("root").agg((F.count("*") + 1).alias("weight"))
@@ -284,10 +344,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     label = about.select("sid", "several", "n", "last").join(label, "sid", "left").withColumn("group", F.coalesce("root", "sid")).drop("root")
     label = label.join(weight.withColumnRenamed("root", "group"), "group", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     label = space.table(label, "label")
-    mixed = space.table(shared.select("token", "sid").join(label, "sid"), "mixed")
+    space.drop("about")
+    mixed = space.table(shared.select("list", "sid", "times").join(label, "sid"), "mixed")
     space.drop("shared")
 
-    matrix = mixed.groupBy("token", F.col("group").alias("g")).agg(
+    matrix = mixed.groupBy("list", F.col("group").alias("g")).agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("several").alias("g_several"), F.min("last").alias("g_first"), F.max("last").alias("g_last"), F.first("weight").alias("g_weight")
     )
     n = F.col("n")
@@ -299,55 +360,32 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         .otherwise(F.least(*[bound.overlap(n, v) - F.greatest(bound.rest(n), bound.rest(v)) for v in (low, high)]) - 1)
     )
     cells = (
-        mixed.join(matrix, "token")
+        mixed.join(matrix, "list")
         .where((F.col("weight") < F.col("g_weight")) | ((F.col("weight") == F.col("g_weight")) & (F.col("group") > F.col("g"))))
         .where(low <= high)
         .where(F.least("several", "g_several") >= least)
     )
-    opens = cells.groupBy(F.col("sid").alias("x"), "g").agg(F.count("*").alias("common"), F.min(least).alias("least")).where("common >= least").select("x", "g")
+    opens = cells.groupBy(F.col("sid").alias("x"), "g").agg(F.sum("times").alias("common"), F.min(least).alias("least")).where("common >= least").select("x", "g")
     opens = space.table(opens, "opens")
     space.drop("mixed")
     within = opens.select("g").distinct()
-    members = groups.select(F.col("root").alias("g"), F.col("node").alias("y")).join(within, "g", "left_semi").union(within.select("g", F.col("g").alias("y")))
-    members = space.table(members, "members")
-    sets = _sets_of(docs, text, width, opens.select(F.col("x").alias("sid")).union(members.select("y")), owners, key, space, "sets-2")
-    links = first_links.union(space.table(_opened(opens, members, sets, share), "links-2"))
+    members = space.table(label.select(F.col("group").alias("g"), F.col("sid").alias("y"), "n").join(within, "g", "left_semi"), "members")
+    space.drop("label")
+    texts = _texts_of(docs, key, text, width, opens.select(F.col("x").alias("sid")).union(members.select(F.col("y").alias("sid"))), owners, space, "texts-2")
+    links = first_links.union(space.table(_opened(opens, members, texts, width, share), "links-2"))
+    space.drop("opens", "members", "texts-2")
     final = components(links, space, "components")
 
-    labelled = mine.join(final.withColumnsRenamed({"node": "sid"}), "sid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
-    labelled = space.table(labelled, "labelled")
-    smallest = labelled.where("n > 0").groupBy("root").agg(F.min(key).alias("component_id"))
-    joined = labelled.where("n > 0").join(smallest, "root").select(key, F.col("n").alias("n_shingles"), "component_id")
-    return joined.union(labelled.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
-
-
-def _sets_of(docs: DataFrame, text: str, width: int, wanted: DataFrame, owners: DataFrame, key: str, space: Workspace, name: str) -> DataFrame:
-    """The whole sets of the wanted classes, each from its smallest document, or if all its keys are null from any of its rows."""
-    wanted = space.table(wanted.distinct().join(owners, "sid"), f"{name}-keys")
-    owned = wanted.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), "sid")
-    found = _filtered_sets(docs, text, width, wanted, key).join(owned, ["_key", "sid"], "left_semi").select("sid", "tokens")
-    nameless = wanted.where(F.col(key).isNull()).select("sid")
-    if not nameless.isEmpty():
-        found = found.union(_nameless_sets(docs, text, width, nameless, key))
-    return space.table(found, name)
-
-
-def _nameless_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame, key: str) -> DataFrame:
-    """(sid, tokens) of the given classes, once each, from the rows whose key is null."""
-    may_have = membership(wanted, "sid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
-            sets = shingles(*utf8_of(batch.column(text)), width)
-            sids = set_ids(sets).view(np.int64)
-            keep = [i for i in np.flatnonzero(may_have(sids)).tolist() if len(sets[i])]
-            if keep:
-                at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in keep])])
-                flat = np.concatenate([sets[i] for i in keep]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sids[keep]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))], ["sid", "tokens"])
-
-    rows = docs.where(F.col(key).isNull()).select(text).mapInArrow(run, "sid bigint, tokens array<bigint>")
-    return rows.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "tokens")
+    labelled = mine.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
+    labelled = space.table(labelled.select(F.col(key).alias("_key"), "rid", "n", "root"), "labelled")
+    # a table of its own, so that the join can split a root of very many documents
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("rid").alias("row")))
+    smallest = space.table(labelled.where("root is not null").groupBy("root").agg(first.alias("first")).select("root", "first.key", "first.row"), "smallest")
+    joined = labelled.where("root is not null").join(smallest, "root").select("_key", "n", "key", "rid", "row")
+    found = joined.union(labelled.where("root is null").select("_key", "n", "_key", "rid", "rid")).toDF(key, "n_shingles", "component_id", "row_id", "first_row")
+    found = space.table(found if with_rows else found.drop("row_id", "first_row"), "found")
+    space.keep("found")
+    return found
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
