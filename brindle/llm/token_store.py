@@ -40,6 +40,8 @@ LEVEL = 3
 ENTRY = struct.Struct("<III")
 FOOTER = struct.Struct("<IBI")
 HEADER = struct.Struct("<II")
+#: Stands in the index for a null key.
+NO_KEY = -(1 << 63)
 INDEX_ROW = np.dtype([("key", "<i8"), ("first", "<u8"), ("count", "<u8")])
 
 CACHED_WORDS = 1_000_000
@@ -212,7 +214,8 @@ def store(docs: DataFrame, config: str, end_id: int, folder: str, key: str = "do
     that is repeated or speculated writes another file, and only the manifest rows
     of the tasks that Spark committed name their files. ``start`` numbers the ids of
     the whole table. Null and empty texts have the end id alone, repeated keys are
-    stored in the order of their texts, and an empty table has an empty manifest.
+    stored in the order of their texts, and an empty table has an empty manifest. Rows
+    with a null key come first; the files hold NO_KEY for it, so that isn't a key.
     """
     shared = docs.sparkSession.sparkContext.broadcast(config)  # a vocabulary file: its size doesn't depend on the data
 
@@ -235,12 +238,12 @@ def store(docs: DataFrame, config: str, end_id: int, folder: str, key: str = "do
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("file", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(parts, key).sortWithinPartitions(key, text)
+    ordered = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias(key), text).repartitionByRange(parts, key).sortWithinPartitions(key, text)
     return ordered.mapInArrow(run, "file string, low bigint, high bigint, docs bigint, ids bigint")
 
 
 def read_back(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """One row per stored document, from the files: key, start, n_tokens, ids_crc32."""
+    """One row per stored document, from the files: key, start, n_tokens, ids_crc32; a key that was null is null again."""
     # one row a file, some hundred bytes for each part of the table: a sort of the manifest alone
     before = Window.orderBy("low", "high", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -260,7 +263,8 @@ def read_back(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFram
                             [key, "start", "n_tokens", "ids_crc32"],
                         )
 
-    return files.select("file", "start").repartition(parts, "file").mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = files.select("file", "start").repartition(parts, "file").mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.withColumn(key, F.nullif(F.col(key), F.lit(NO_KEY)))
 
 
 def configuration(name: str = "word_bpe_49k.json") -> str:
