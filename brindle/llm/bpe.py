@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,31 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
-from .textkit import pieces, utf8_of
+from .textkit import give_back, pieces, utf8_of
 
 # classes of code points
 LETTER, NUMBER, OTHER, BLANK, SPACE, SHORT, LONG, RESET, SAME = range(9)
 # states: what the last code point was or, after an apostrophe, how much of a contraction is left
 START, IN_LETTER, IN_NUMBER, IN_OTHER, AFTER_BLANK, AFTER_SPACE, TWO_LEFT, ONE_LEFT, CONTRACTED = range(9)
 
-#: The White_Space code points of Unicode.
-WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The contractions of the pattern, after the apostrophe.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 BLOCK = 256
 CACHED_PIECES = 200_000
+#: A batch's arrays hold some 40 times this.
+BATCH_BYTES = 1 << 18
 QUADRATIC_LIMIT = 96
 NO_PAIR = 1 << 60
+#: A text of twice as many code points is taken in parts of about this many.
+LONG_TEXT = 1 << 18
 
 
 def class_table() -> np.ndarray:
-    """The class of every code point, from Unicode's general categories."""
+    """The class of every code point, as the library that the ids must equal sees it.
+
+    The library's Unicode version isn't Python's, so its own letters, numbers and white space are taken: what it matches of
+    one string of all code points.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    ranks = {bytes([b]): b for b in range(256)}
     table = np.full(0x110000, OTHER, dtype=np.uint8)
-    major = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-    table[[i for i, c in enumerate(major) if c == "L"]] = LETTER
-    table[[i for i, c in enumerate(major) if c == "N"]] = NUMBER
-    table[WHITE_SPACE] = SPACE
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+        of_kind = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every)
+        table[np.frombuffer(bytes(of_kind).decode("utf-8").encode("utf-32-le"), dtype=np.uint32)] = kind
     table[0x20] = BLANK
     return table
 
@@ -232,19 +240,43 @@ class Merger:
         return np.concatenate([[0], np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)])
 
 
-_STATE: dict[str, tuple[Merger, np.ndarray]] = {}
+_STATE: dict[str, Merger] = {}
 
 
-def _state(ranks: bytes) -> tuple[Merger, np.ndarray]:
-    """One merger a worker process and vocabulary, kept over its tasks."""
+def _state(ranks: bytes) -> Merger:
+    """The merger of a vocabulary, kept for a task."""
     key = hashlib.sha256(ranks).hexdigest()
     if key not in _STATE:
-        _STATE[key] = (Merger(ranks), class_table())
+        _STATE[key] = Merger(ranks)
     return _STATE[key]
 
 
+def parts_of(text: str, table: np.ndarray) -> Iterator[str]:
+    """A text in parts of about LONG_TEXT code points, cut before single spaces, where a piece always begins."""
+    begin, at = 0, LONG_TEXT
+    while (at := text.find(" ", at)) > 0 and at + 1 < len(text):
+        if all(table[ord(c)] not in (BLANK, SPACE) for c in (text[at - 1], text[at + 1])):
+            yield text[begin:at]
+            begin, at = at, at + LONG_TEXT
+        else:
+            at += 1
+    yield text[begin:]
+
+
 def encoded(texts: pa.Array, merger: Merger, table: np.ndarray) -> Iterator[tuple[list[int], str]]:
-    """For each text its ids and their decimal text joined by commas."""
+    """For each text its ids and their decimal text joined by commas; a long text is taken in parts."""
+    if len(texts) == 1 and texts[0].is_valid and len(text := texts[0].as_py()) > 2 * LONG_TEXT:
+        ids, said = [], []
+        for part in parts_of(text, table):
+            for own in _encoded(pa.array([part]), merger, table):
+                ids += own[0]
+                said.append(own[1])
+        yield ids, ",".join(said)
+    else:
+        yield from _encoded(texts, merger, table)
+
+
+def _encoded(texts: pa.Array, merger: Merger, table: np.ndarray) -> Iterator[tuple[list[int], str]]:
     data, offsets = utf8_of(texts)
     starts, rows = boundaries(data, offsets, table) if len(data) else (np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
     whole = data.tobytes()
@@ -269,11 +301,13 @@ def encode(docs: DataFrame, ranks: bytes, key: str = "doc_id", text: str = "text
     """
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, offsets array<bigint>" * with_offsets
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: its size doesn't depend on the data
+    # a vocabulary file and a byte a code point: their size doesn't depend on the data
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, class_table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, table = _state(shared.value)
-        for batch in pieces(batches, text):
+        ranks, table = shared.value
+        merger = _state(ranks)
+        for batch in pieces(batches, text, BATCH_BYTES):
             counts, ids_sha, decoded_sha, all_ids, all_offsets = [], [], [], [], []
             for ids, said in encoded(batch.column(text), merger, table):
                 counts.append(len(ids))
@@ -288,6 +322,10 @@ def encode(docs: DataFrame, ranks: bytes, key: str = "doc_id", text: str = "text
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_offsets, pa.list_(pa.int64()))]
                 names += ["ids", "offsets"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        # other operators' tasks come to this worker next
+        _STATE.clear()
+        del merger
+        give_back()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_tables import emitted, merged
-from .textkit import U64, mix64, stream64
+from .textkit import U64, mix64, stream64, tidy
 
 BITS = 1 << 26
 _SALTS = stream64(61, 2)
@@ -29,7 +29,7 @@ def membership(keys: DataFrame, key: str) -> Callable[[np.ndarray], np.ndarray]:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITS // 8, dtype=np.uint8)
-        for batch in batches:
+        for batch in tidy(batches):
             for place in _places(batch.column(0).to_numpy()):
                 np.bitwise_or.at(bits, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
         if bits.any():

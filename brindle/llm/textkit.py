@@ -7,6 +7,7 @@ computed for the whole batch without a Python loop over characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +44,14 @@ def stream64(seed: int, n: int) -> np.ndarray:
 
 _BYTE_VALUE = stream64(11, 256) | U64(1)
 _POWERS: list[np.ndarray] = []
+#: Bytes that are hashed at a time.
+NEAR = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling base and of its inverse modulo 2**64, for n positions at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 << 20)
+        size = max(n, NEAR + 1)
         up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
         up[0] = down[0] = U64(1)
         with np.errstate(over="ignore"):
@@ -70,8 +73,24 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Gives memory that isn't used any more back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches, with memory given back before the first and after the last."""
+    give_back()
+    yield from batches
+    give_back()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``limit`` bytes; one longer text is a batch of its own."""
+    give_back()  # what the worker's last task has left
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -82,10 +101,31 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -
             end = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each range; equal bytes have equal hashes wherever they stand."""
+    """A 64-bit hash of the bytes of each range; equal bytes have equal hashes wherever they stand.
+
+    Of long data a stretch of about NEAR bytes is hashed at a time, if ranges come in
+    order of their starts.
+    """
+    if len(data) <= 2 * NEAR or not (starts[1:] >= starts[:-1]).all():
+        return _near(data, starts, ends)
+    out, reach, i = np.empty(len(starts), dtype=U64), np.maximum.accumulate(ends), 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = int(np.searchsorted(reach, low + NEAR, side="right"))
+        if j > i:
+            out[i:j] = _near(data[low : reach[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        else:
+            j = i + 1
+            out[i] = _far(data[low : ends[i]])
+        i = j
+    return out
+
+
+def _near(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, dtype=U64)
@@ -96,6 +136,18 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64(own + (ends - starts).astype(U64) * U64(_GOLDEN))
 
 
+def _far(data: np.ndarray) -> np.uint64:
+    """The hash of one range of any length, a part at a time."""
+    total = 0
+    for at in range(0, len(data), NEAR):
+        part = data[at : at + NEAR]
+        with np.errstate(over="ignore"):
+            own = int((_BYTE_VALUE[part] * _powers(NEAR)[0][: len(part)]).sum(dtype=U64))
+        total += own * pow(int(_BASE), at, 1 << 64)
+    with np.errstate(over="ignore"):
+        return mix64(np.array([(total + len(data) * _GOLDEN) % (1 << 64)], dtype=U64))[0]
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word and, for n rows, the n + 1 word indexes at which rows begin.
 
