@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, load
 from .membership import membership
-from .textkit import U64, hash_ranges, mix64, pieces, utf8_of
+from .textkit import U64, hash_ranges, mix64, pieces, tidy, utf8_of
 
 LENGTH = 200
 ANCHOR = 100
@@ -39,10 +39,33 @@ REACH = LENGTH - ANCHOR  # how far an anchor can be from the start of its window
 #: Groups of more members are told apart window by window, in Spark's own aggregation.
 GROUP_LIMIT = 20_000
 PAD = 0xFF  # in no UTF-8 text
+#: Windows of a long text that are looked at together.
+PART = 1 << 20
+#: What is said of a row beside its place: nothing, that its batch has copies of its stretch, that it is such a copy.
+ALONE, COPIED, COPY = range(3)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor: its row, place, string's hash, first and last window start (bytes of the batch)."""
+    """For each anchor: its row, place, string's hash, first and last window start (bytes of the batch).
+
+    A long text is taken in parts; an anchor whose windows a cut divides is put together again.
+    """
+    if len(offsets) != 2 or len(data) <= 2 * PART:
+        return _anchors(data, offsets)
+    found: list[list[np.ndarray]] = []
+    for a in range(0, len(data) - LENGTH + 1, PART):
+        part = data[a : min(len(data), a + PART + LENGTH - 1)]
+        row, place, hashes, first, last = _anchors(part, np.array([0, len(part)]))
+        own = [row, place + a, hashes, first + a, last + a]
+        if found and found[-1][1][-1] == own[1][0]:
+            found[-1][4][-1] = own[4][0]
+            own = [c[1:] for c in own]
+        if len(own[0]):
+            found.append(own)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     sizes = np.diff(offsets)
     empty = np.zeros(0, np.int64)
     if not (sizes >= LENGTH).any():
@@ -69,7 +92,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _anchor_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(anchor, stretch, rid, at, ahead, behind); windows start ``ahead`` to ``behind`` bytes before the anchor."""
+    """(anchor, stretch, rid, at); windows start ``ahead`` to ``behind`` bytes before the anchor.
+
+    ``at`` holds the tag that rid goes with, the anchor's place and what is known of
+    the row: of the equal stretches of a batch one stands for all, and its copies
+    needn't meet anything else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -78,30 +106,30 @@ def _anchor_rows(docs: DataFrame, text: str) -> DataFrame:
             if len(row):
                 ahead, behind = place - first, place - last
                 stretch = mix64(hash_ranges(data, first, last + LENGTH) ^ mix64((ahead * 256 + behind).astype(U64)))
+                stretch = (stretch & ~U64(0xFFFF)) | (ahead * 256 + behind).astype(U64)
+                _, chief, which, copies = np.unique(stretch, return_index=True, return_inverse=True, return_counts=True)
+                known = np.where(copies[which] > 1, COPY, ALONE)
+                known[chief[copies > 1]] = COPIED
+                at = (batch.column("tag").to_numpy()[row].astype(np.int64) << 32) | ((place - offsets[row]) << 2) | known
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes.view(np.int64)),
-                        pa.array(((stretch & ~U64(0xFFFF)) | (ahead * 256 + behind).astype(U64)).view(np.int64)),
-                        pa.array(batch.column("rid").to_numpy()[row]),
-                        pa.array((place - offsets[row]).astype(np.int32)),
-                    ],
+                    [pa.array(hashes.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(batch.column("rid").to_numpy()[row]), pa.array(at)],
                     ["anchor", "stretch", "rid", "at"],
                 )
 
-    return docs.select("rid", text).mapInArrow(run, "anchor bigint, stretch bigint, rid bigint, at int")
+    return docs.select("rid", "tag", text).mapInArrow(run, "anchor bigint, stretch bigint, rid bigint, at bigint")
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
-    """From rows in order of (anchor, stretch): those of repeated anchors, with what is known of them.
+    """From rows in order of (anchor, stretch, copies last): those of repeated anchors, with what is known of them.
 
     ``known`` is 1 for a stretch that occurs more than once; ``chief`` is 1 for the
-    first row of a stretch.
+    first row of a stretch that isn't a copy.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         several = known = False  # of the held row: its anchor, its stretch was seen before it
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             columns = [batch.column(i).to_numpy() for i in range(4)]
@@ -116,7 +144,7 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return rows.mapInArrow(run, "anchor bigint, stretch bigint, rid bigint, at int, known int, chief int")
+    return rows.mapInArrow(run, "anchor bigint, stretch bigint, rid bigint, tag int, at int, known int, chief int")
 
 
 def _settle(columns: list[np.ndarray], several: bool, known: bool, carried: bool, final: bool) -> tuple[pa.RecordBatch | None, bool, bool]:
@@ -128,14 +156,22 @@ def _settle(columns: list[np.ndarray], several: bool, known: bool, carried: bool
     before_anchor = np.concatenate([[several and carried], same_anchor])
     before = np.concatenate([[known and carried], same])
     after_anchor, after = np.concatenate([same_anchor, [False]]), np.concatenate([same, [False]])
-    keep = before_anchor | after_anchor
+    said = columns[3] & 3
+    keep = before_anchor | after_anchor | (said != ALONE)
     if not final:
         keep[-1] = False
     out = None
     if keep.any():
+        packed = columns[3][keep]
         out = pa.RecordBatch.from_arrays(
-            [*(pa.array(c[keep]) for c in columns), pa.array((before | after)[keep].astype(np.int32)), pa.array((~before)[keep].astype(np.int32))],
-            ["anchor", "stretch", "rid", "at", "known", "chief"],
+            [
+                *(pa.array(c[keep]) for c in columns[:3]),
+                pa.array((packed >> 32).astype(np.int32)),
+                pa.array(((packed & 0xFFFFFFFF) >> 2).astype(np.int32)),
+                pa.array((before | after | (said != ALONE))[keep].astype(np.int32)),
+                pa.array((~before & (said != COPY))[keep].astype(np.int32)),
+            ],
+            ["anchor", "stretch", "rid", "tag", "at", "known", "chief"],
         )
     return out, bool(before_anchor[n - 1]), bool(before[n - 1])
 
@@ -145,11 +181,11 @@ def _contexts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     may_have = membership(wanted, "rid")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield batch.filter(pa.array(may_have(batch.column("rid").to_numpy())))
 
-    texts = docs.select("rid", text).mapInArrow(pick, f"rid bigint, `{text}` string").dropDuplicates(["rid"])
-    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "stretch", "at", "known")).alias("asked"))
+    texts = docs.select("rid", "tag", text).mapInArrow(pick, f"rid bigint, tag int, `{text}` string").dropDuplicates(["rid", "tag"])
+    asked = wanted.groupBy("rid", "tag").agg(F.collect_list(F.struct("anchor", "stretch", "at", "known")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, 1 << 20):
@@ -166,12 +202,12 @@ def _contexts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 ends = np.arange(len(around) + 1, dtype=np.int32) * (LENGTH + REACH)
                 packed = pa.Array.from_buffers(pa.binary(), len(around), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(around))])
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field("anchor")[b], flat.field("stretch")[b], pa.array(batch.column("rid").to_numpy()[row[b]]), flat.field("at")[b], flat.field("known")[b], packed],
-                    ["anchor", "stretch", "rid", "at", "known", "around"],
+                    [flat.field("anchor")[b], flat.field("stretch")[b], *(pa.array(batch.column(c).to_numpy()[row[b]]) for c in ("rid", "tag")), flat.field("at")[b], flat.field("known")[b], packed],
+                    ["anchor", "stretch", "rid", "tag", "at", "known", "around"],
                 )
 
-    schema = "anchor bigint, stretch bigint, rid bigint, at int, known int, around binary"
-    return texts.join(asked, "rid").select("rid", text, "asked").mapInArrow(run, schema)
+    schema = "anchor bigint, stretch bigint, rid bigint, tag int, at int, known int, around binary"
+    return texts.join(asked, ["rid", "tag"]).select("rid", "tag", text, "asked").mapInArrow(run, schema)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,21 +270,21 @@ def _grouped(contexts: DataFrame) -> DataFrame:
             ahead, behind = ((stretch >> U64(8)) & U64(255)).astype(np.int64), (stretch & U64(255)).astype(np.int64)
             known = table.column("known").to_numpy()
             around = np.frombuffer(b"".join(table.column("around").to_pylist()), dtype=np.uint8).reshape(-1, LENGTH + REACH)
-            rid, at = table.column("rid").to_numpy(), table.column("at").to_numpy()
+            rid, tag, at = (table.column(c).to_numpy() for c in ("rid", "tag", "at"))
             edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
             found = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a > 1:
                     for m, number, far, near in repeated_windows(around[a:b], ahead[a:b], behind[a:b]):
                         if not known[a + m]:
-                            found.append((rid[a + m], at[a + m] - far, at[a + m] - near + LENGTH, anchor[a], number))
+                            found.append((rid[a + m], tag[a + m], at[a + m] - far, at[a + m] - near + LENGTH, anchor[a], number))
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(f[i]) for f in found], pa.int64()) for i in range(5)],
-                    ["rid", "start", "end", "anchor", "number"],
+                    [pa.array([int(f[i]) for f in found], pa.int32() if i == 1 else pa.int64()) for i in range(6)],
+                    ["rid", "tag", "start", "end", "anchor", "number"],
                 )
 
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -261,7 +297,7 @@ def _grouped(contexts: DataFrame) -> DataFrame:
         if held:
             yield from solved(pa.Table.from_batches(held))
 
-    return contexts.mapInArrow(run, "rid bigint, start bigint, end bigint, anchor bigint, number bigint")
+    return contexts.mapInArrow(run, "rid bigint, tag int, start bigint, end bigint, anchor bigint, number bigint")
 
 
 def _by_window(contexts: DataFrame) -> DataFrame:
@@ -279,26 +315,28 @@ def _by_window(contexts: DataFrame) -> DataFrame:
                 before = np.repeat(ahead + np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) - np.arange(counts.sum())
                 start = row * (LENGTH + REACH) + REACH - before
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.column("anchor").to_numpy()[row]), pa.array(before), pa.array(hash_ranges(data, start, start + LENGTH).view(np.int64)), pa.array(part.column("rid").to_numpy()[row]), pa.array(part.column("at").to_numpy()[row] - before)],
-                    ["anchor", "before", "window", "rid", "start"],
+                    [pa.array(part.column("anchor").to_numpy()[row]), pa.array(before), pa.array(hash_ranges(data, start, start + LENGTH).view(np.int64)), *(pa.array(part.column(c).to_numpy()[row]) for c in ("rid", "tag")), pa.array(part.column("at").to_numpy()[row] - before)],
+                    ["anchor", "before", "window", "rid", "tag", "start"],
                 )
 
-    windows = contexts.mapInArrow(run, "anchor bigint, before bigint, window bigint, rid bigint, start bigint")
+    windows = contexts.mapInArrow(run, "anchor bigint, before bigint, window bigint, rid bigint, tag int, start bigint")
     twice = windows.groupBy("anchor", "before", "window").agg(F.count("*").alias("n")).where("n > 1")
-    return windows.join(twice, ["anchor", "before", "window"]).select("rid", "start", (F.col("start") + LENGTH).alias("end"), "anchor", F.col("window").alias("number"))
+    return windows.join(twice, ["anchor", "before", "window"]).select("rid", "tag", "start", (F.col("start") + LENGTH).alias("end"), "anchor", F.col("window").alias("number"))
 
 
 def repeats(docs: DataFrame, text: str, space: Workspace) -> DataFrame:
-    """(rid, start, end, anchor, number): byte ranges of ``docs``' rows that repeated windows cover.
+    """(rid, tag, start, end, anchor, number): byte ranges of ``docs``' rows that repeated windows cover.
 
     Rows with the same anchor and number are the occurrences of one maximal repeat;
     a number of -1 or less names a stretch that occurs more than once as it is.
     """
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = _anchor_rows(docs, text).repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch")
+    copy = F.col("at").bitwiseAND(3) == COPY
+    # copies go anywhere, so a string that a third of all texts have doesn't go to one task
+    rows = _anchor_rows(docs, text).repartition(parts, F.when(copy, F.xxhash64("rid", "at")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "stretch", copy)
     found = space.table(_sorted_out(rows), "anchors")
     groups = found.where("chief = 1").groupBy("anchor").agg(F.count("*").alias("members"), F.min("known").alias("_all")).where("_all = 0").drop("_all")
-    wanted = space.table(found.where("chief = 1").join(groups, "anchor").select("anchor", "stretch", "rid", "at", "known", (F.col("members") > GROUP_LIMIT).alias("large")), "wanted")
+    wanted = space.table(found.where("chief = 1").join(groups, "anchor").select("anchor", "stretch", "rid", "tag", "at", "known", (F.col("members") > GROUP_LIMIT).alias("large")), "wanted")
     contexts = _contexts(docs, text, wanted)
     large = wanted.where("large").select("anchor").distinct()
     contexts = space.table(contexts, "contexts")
@@ -311,7 +349,7 @@ def repeats(docs: DataFrame, text: str, space: Workspace) -> DataFrame:
         spans = spans.union(_by_window(rest))
     ahead = F.shiftright("stretch", 8).bitwiseAND(255)
     behind = F.col("stretch").bitwiseAND(255)
-    whole = found.where("known = 1").select("rid", (F.col("at") - ahead).alias("start"), (F.col("at") - behind + LENGTH).alias("end"), "anchor", (-1 - F.abs(F.shiftright("stretch", 1))).alias("number"))
+    whole = found.where("known = 1").select("rid", "tag", (F.col("at") - ahead).alias("start"), (F.col("at") - behind + LENGTH).alias("end"), "anchor", (-1 - F.abs(F.shiftright("stretch", 1))).alias("number"))
     return space.table(spans.unionByName(whole), "spans")
 
 
@@ -324,16 +362,21 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
     cut in two dropped. An empty table has no rows.
     """
     space = space or Workspace(docs.sparkSession, "suffix-dedup")
-    rows = docs.withColumn("rid", F.xxhash64(F.col(key), F.col(text)))
-    spans = repeats(rows, text, space)
-    cuts = spans.groupBy("rid", "start").agg(F.max("end").alias("end")).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    # 96 bits name a row's key and text
+    names = [f.name for f in docs.schema] if keep_text else [key, text]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # no name clashes with those used here
+    own_key, own_text = f"c{names.index(key)}", f"c{names.index(text)}"
+    rows = plain.select("*", F.xxhash64(own_key, own_text).alias("rid"), F.hash(own_text, own_key).alias("tag"))
+    spans = repeats(rows, own_text, space)
+    cuts = spans.groupBy("rid", "tag", "start").agg(F.max("end").alias("end")).groupBy("rid", "tag").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     may_have = membership(spans, "rid")
-    columns = [f.name for f in docs.schema] if keep_text else [key, text]
-    fields = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in columns)
-    schema = fields if keep_text else f"`{key}` {dict(docs.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    columns = plain.columns
+    kinds = dict(plain.dtypes)
+    fields = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    schema = fields if keep_text else f"{own_key} {kinds[own_key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def made(batch: pa.RecordBatch, starts: list, ends: list) -> pa.RecordBatch:
-        texts, out = batch.column(text).to_pylist(), []
+        texts, out = batch.column(own_text).to_pylist(), []
         for own, a, b in zip(texts, starts, ends, strict=True):
             body = (own or "").encode()
             kept, gone, runs, last = [], 0, 0, 0
@@ -349,25 +392,25 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
             out.append((own, len(body), gone, runs, b"".join(kept)))
         if keep_text:
             cut = pa.array([o[0] if not o[2] else o[4].decode("utf-8", "ignore") for o in out], pa.string())
-            return pa.RecordBatch.from_arrays([cut if c == text else batch.column(c) for c in columns], columns)
+            return pa.RecordBatch.from_arrays([cut if c == own_text else batch.column(c) for c in columns], columns)
         return pa.RecordBatch.from_arrays(
-            [batch.column(key), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3)), pa.array([hashlib.sha256(o[4]).hexdigest() for o in out], pa.string())],
-            [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column(own_key), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3)), pa.array([hashlib.sha256(o[4]).hexdigest() for o in out], pa.string())],
+            [own_key, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, own_text):
             part = batch.filter(pa.array(~may_have(batch.column("rid").to_numpy())))
             none = [np.zeros(0, np.int64)] * part.num_rows
             if part.num_rows:
                 yield made(part, none, none)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield batch.filter(pa.array(may_have(batch.column("rid").to_numpy())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, own_text):
             lists = batch.column("cuts")
             at, flat = lists.offsets.to_numpy(), lists.flatten()
             a, b = flat.field("start").to_numpy(), flat.field("end").to_numpy()
@@ -375,9 +418,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
             pairs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             yield made(batch, [a[i:j] for i, j in pairs], [b[i:j] for i, j in pairs])
 
-    slim = rows.select("rid", *[F.col(c) for c in columns])
-    touched = slim.mapInArrow(pick, f"rid bigint, {fields}").join(cuts, "rid", "left")
-    return slim.mapInArrow(whole, schema).union(touched.mapInArrow(cut, schema))
+    touched = rows.select("rid", "tag", *columns).mapInArrow(pick, f"rid bigint, tag int, {fields}").join(cuts, ["rid", "tag"], "left")
+    found = rows.select("rid", *columns).mapInArrow(whole, schema).union(touched.mapInArrow(cut, schema))
+    return found.toDF(*names) if keep_text else found.withColumnRenamed(own_key, key)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
