@@ -29,20 +29,22 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_lm.judged(docs, load(spark, sf_dir, "labels"))
-    gone = judged.where("rejected").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Rows are told apart by key, text and language, so a rejected one takes no other with it."""
+    judged = quality_lm.judged(docs, load(spark, sf_dir, "labels"), with_rows=True)
+    gone = judged.where("rejected").select(F.col("row_id").alias("_row")).distinct()
+    return docs.withColumn("_row", quality_lm.row_id()).join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    """Rows are told apart by key and text, so documents that merely share a doc_id stay."""
+    rows = ngram_join.join(docs, with_rows=True)
+    own = docs.withColumn("_row", ngram_join.row_id("doc_id", "text"))
+    gone = rows.where("row_id <> first_row").select(F.col("row_id").alias("_row")).distinct()
+    kept = own.join(gone, "_row", "left_anti")
+    repeated = rows.where("row_id = first_row and n_shingles > 0").groupBy(F.col("row_id").alias("_row")).agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "_row", "left_anti").unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*docs.columns)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     places = space.table(places, "places")
     placed = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"])).drop(places["doc_id"])
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ends = max(1, -(-docs.count() * mixing.BLOCK_ROWS // parts))
+    ends = max(1, -(-docs.count() // parts))
     number = F.least(F.floor(F.col("_position") / ends), F.lit(parts - 1)).cast("int")
     return placed.repartitionById(parts, number).sortWithinPartitions("_position").select(*docs.columns)
 

@@ -130,6 +130,28 @@ def test_ngram_join_links_through_texts_without_a_key(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_ngram_join_of_long_lists_and_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+    monkeypatch.setattr(ngram_join, "SHINGLES_A_CELL", 100)
+    monkeypatch.setattr(ngram_join, "QUERIES_A_CELL", 4)
+    r, texts, passage = random.Random(8), {}, prose(99, 30)
+    for i in range(60):
+        words = f"{passage} {prose(100 + i % 4, 45 - 20 * (i % 3 == 0))}".split()
+        for _ in range(r.choice([0, 1, 2])):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS).repartition(2)
+    got = rows_of(ngram_join.join(df))
+    assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == brute_components(texts)
+
+
+def test_ngram_join_tells_rows_of_one_key_apart(spark):
+    other = prose(77, 60)
+    df = spark.createDataFrame([(1, BASE), (1, other), (2, other + " end"), (2, BASE + " end"), (None, BASE)], "doc_id long, text string").selectExpr("*", "7 AS sid", "'x' AS rid", "1 AS n")
+    got = sorted(((r.doc_id, r.component_id, r.row_id == r.first_row) for r in ngram_join.join(df, with_rows=True).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (None, 1, False)], key=str)
+
+
 def test_shingles_do_not_cross_rows():
     sets = textkit.shingles(*textkit.utf8_of(pa.array(["a b c d e", "f a b c d e", None, "a b"])))
     assert [len(s) for s in sets] == [1, 2, 0, 1] and set(sets[0]) < set(sets[1])
@@ -195,6 +217,15 @@ def test_token_files_open_only_the_frames_asked_for(tmp_path):
         token_store.FrameReader(source).ids(0)
 
 
+def test_token_store_of_null_and_repeated_keys(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b b"), (None, "a"), (1, None), (None, None), (1, "c")], "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS n_tokens")
+    folder = f"file://{tmp_path}/ids"
+    manifest = spark.createDataFrame(token_store.store(df, token_store.configuration(), 1, folder).collect(), "file string, low long, high long, docs long, ids long")
+    got = sorted(token_store.read_back(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 2] and [r.n_tokens for r in got] == [1, 2, 1, 2, 3]
+    assert [r.start for r in got] == [0, 1, 3, 4, 6]
+
+
 def test_token_store_of_nothing(none, tmp_path):
     folder = f"file://{tmp_path}/ids"
     assert token_store.read_back(token_store.store(none, token_store.configuration(), 1, folder), folder).collect() == []
@@ -343,6 +374,35 @@ def test_m_tree_prunes_and_stays_exact():
     assert tree.computed < 0.7 * 40 * 5000
 
 
+def test_exact_search_goes_down_several_levels(spark, monkeypatch):
+    for name, value in (("ROWS_A_CELL", 30), ("ROWS_A_SUBTREE", 200), ("FAN", 4), ("SAMPLE_A_NODE", 20), ("ROWS_A_DEAL", 64), ("QUERIES_A_CELL", 8)):
+        monkeypatch.setattr(exact_search, name, value)
+    g = np.random.default_rng(6)
+    centers = g.normal(size=(12, 6)) * 4
+    vectors = {i: (centers[i % 12] + g.normal(size=6) * 0.2).tolist() for i in range(1500)}
+    vectors |= {2000 + i: [1.0] * 6 for i in range(70)}  # no routing object tells these apart
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in exact_search.search(df, lambda c: c % 20 == 0, k=7).collect())
+    assert got == brute_top(list(vectors.items()), 7)
+
+
+def test_exact_search_of_repeated_rows_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from brindle.llm.catalogue import OP5_SQL
+
+    g = np.random.default_rng(8)
+    rows = [(i % 90, g.normal(size=4).astype(float).tolist()) for i in range(90)]
+    rows += [(3, rows[3][1])] * 2 + [(7, rows[7][1]), (50, None), (51, [1.0, None, 2.0, 3.0]), (52, [float("nan")] * 4), (53, [float("inf"), 0.0, 0.0, 0.0]), (3, [9.0, 9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = con.sql(f"SELECT query_id, rank, vec_id, score FROM ({OP5_SQL})").fetchall()
+    got = exact_search.search(df, lambda c: c % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_exact_search_of_nothing(spark):
     assert exact_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda c: c % 20 == 0).collect() == []
 
@@ -445,7 +505,46 @@ def test_banded_alignment_is_the_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert license_scan.align(np.array(a), np.array(b), 0, 9)[0] == table[-1][-1]
+        matched, first, end = license_scan.align(np.array(a), np.array(b), np.array([0, 0]), np.array([0, 0]), np.array([len(b), 1]), 9)
+        assert matched[0] == table[-1][-1] and matched[1] == (b[0] in a)
+        if matched[0]:
+            rest = iter(b[first[0] : end[0]])
+            assert b[first[0]] in a and sum(x in rest for x in a) <= matched[0] <= end[0] - first[0]
+
+
+def plain_words(text):
+    return [w for w in re.split("[^0-9a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+
+
+def test_license_scan_misses_no_notice_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {}
+    for r in license_scan.scan(docs).collect():
+        got.setdefault((r.doc_id, r.license), []).append(r.coverage)
+    seen = 0
+    for d in docs.collect():
+        words = plain_words(d.text)
+        for name, template in license_scan.TEMPLATES.items():
+            t = plain_words(template)
+            times = sum(words[i : i + len(t)] == t for i in range(len(words)))
+            seen += times
+            assert got.get((d.doc_id, name), []).count(1.0) >= times
+    assert seen > 20
+
+
+def test_license_scan_gives_every_place_and_any_replaced_word(spark):
+    scan = lambda text: [(f[1], text.encode()[f[4] : f[5]].decode()) for f in license_scan.Index(license_scan.TEMPLATES).scan(*textkit.utf8_of(pa.array([text])))]
+    mit, rights = "Released under the MIT License", "All rights reserved"
+    assert scan(f"{mit}. {mit}.") == [("MIT", mit)] * 2
+    assert scan(f"{rights}. " * 40) == [("All-rights-reserved", rights)] * 40
+    assert [n for n, _ in scan(f"{rights}. {mit}. a {rights}")] == ["All-rights-reserved"] * 2 + ["MIT"]
+    for name, template in license_scan.TEMPLATES.items():
+        words = template.split()
+        for i in range(len(words)):
+            if len(plain_words(template)) >= 5 and plain_words(words[i]):
+                changed = " ".join([*words[:i], "zzz", *words[i + 1 :]])
+                assert name in [n for n, _ in scan(f"b c d {changed} e f g")] or len(plain_words(words[i])) > 1
+    assert list(license_scan.Index({"one": "alpha", "two": "alpha beta", "none": "..."}).scan(*textkit.utf8_of(pa.array(["x alpha beta"])))) == [(0, "one", 1, 1, 2, 7), (0, "two", 2, 2, 2, 12)]
 
 
 # 8
@@ -588,6 +687,23 @@ def test_bpe_agrees_with_the_library(docs, none):
     assert bpe.encode(none, bpe.vocabulary()).collect() == []
 
 
+def test_bpe_of_every_code_point_and_of_parts(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    merger, table = bpe.Merger(bpe.vocabulary()), bpe.class_table()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merger.ranks, special_tokens={})
+    r = random.Random(13)
+    texts = ["".join(f"a{chr(c)}1 " for c in range(a, a + 0x400) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 0x400)]
+    texts.append("".join("a" + chr(c) for c in range(0x20000, 0x110000, 97)))
+    assert [ids for ids, _ in bpe.encoded(pa.array(texts), merger, table)] == [library.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "LONG_TEXT", 20)
+    for _ in range(200):
+        text = "".join(r.choice(["ab", " ", "  ", "'s", "\n", " \n", "1", "é", ".", " a"]) for _ in range(r.randint(41, 300)))
+        ((ids, said),) = bpe.encoded(pa.array([text]), merger, table)
+        assert ids == library.encode_ordinary(text) and said == ",".join(map(str, ids)) and "".join(bpe.parts_of(text, table)) == text
+
+
 def test_transition_functions_compose_associatively():
     element, compose, apply = bpe.transition_monoid()
     n = len(compose)

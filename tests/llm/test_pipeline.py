@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import types as T
 
-from brindle.llm import bpe, catalogue
+from brindle.llm import bpe, catalogue, mixing
 
 from .test_operators import brute_components, brute_cut, prose
 
@@ -88,5 +88,30 @@ def test_empty_and_repeated_tables(spark, corpus, tmp_path):
     assert len(corpus_pipeline.mixing_stage(spark, twice, folder).collect()) == 4
 
 
+def test_documents_that_share_an_id_stay(spark, corpus):
+    folder, texts = corpus
+    rows = [(1, texts[3], "en", "s0", 1), (1, texts[8], "en", "s0", 1), (2, texts[8] + " end", "en", "s1", 1), (1, "".join("#$%&"[i % 4] for i in range(300)), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.quality_classifier(spark, docs, folder).collect()
+    assert {texts[3], texts[8]} <= {r.text for r in kept}
+    joined = corpus_pipeline.ngram_join_stage(spark, spark.createDataFrame(rows[:3], DOCS), folder).collect()
+    assert sorted((r.doc_id, r.text) for r in joined) == sorted([(1, texts[3]), (1, texts[8])])
+
+
+def test_mixing_fills_all_files_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 5}", 6) for i in range(4000)], DOCS)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    back = spark.read.parquet(str(tmp_path / "mixed"))
+    place = {r.doc_id: r.position for r in mixing.scheduled(docs).collect()}
+    sizes, last = [], -1
+    for file in sorted(back.inputFiles()):
+        got = [place[r.doc_id] for r in spark.read.parquet(file).collect()]
+        assert got == sorted(got) and got[0] > last
+        last = got[-1]
+        sizes.append(len(got))
+    assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) <= 2 * min(sizes)
+
+
 def test_catalogue_names():
     assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries()) == list(range(1, 11))
