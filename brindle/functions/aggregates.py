@@ -31,6 +31,16 @@ class Agg:
     extra: tuple = field(default=())
 
 
+@dataclass(frozen=True)
+class PartialAggregate:
+    """A caller's own aggregate: a state from values (a pandas series without nulls), one from two, a result of SQL type ``result`` from the last."""
+
+    partial: Callable[[Any], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], Any]
+    result: str = "double"
+
+
 def register_aggregate(name: str, build: Callable[..., Column]) -> None:
     """Adds a custom aggregate: a function from a column to an aggregate column, such as a grouped-agg pandas UDF."""
     _CUSTOM[name.lower()] = build

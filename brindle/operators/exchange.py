@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 
 from .joins import broadcast_if_small
 
-HASHES = {"simple": F.hash, "murmur3": F.hash, "city": F.xxhash64, "xx": F.xxhash64}
+
+
+def _text(keys: Sequence[str]) -> Column:
+    """The keys as one text; a null is the code point 0, and keys end in 1."""
+    return F.concat(*[F.concat(F.coalesce(F.col(k).cast("string"), F.lit("\0")), F.lit("\1")) for k in keys])
+
+
+HASHES = {
+    "simple": lambda *keys: F.crc32(_text(keys)),
+    "murmur3": F.hash,
+    "city": lambda *keys: F.conv(F.substring(F.md5(_text(keys)), 1, 15), 16, 10).cast("long"),
+    "xx": F.xxhash64,
+}
 
 
 def exchange(df: DataFrame, strategy: str, keys: Sequence[str] = (), n: int | None = None) -> DataFrame:
@@ -24,10 +36,12 @@ def exchange(df: DataFrame, strategy: str, keys: Sequence[str] = (), n: int | No
         case "round_robin":
             return df.repartition(n or df.sparkSession.sparkContext.defaultParallelism)
         case "single":
-            return df.coalesce(1)
+            return df.repartition(1)  # coalesce(1) would run what comes before it in one task too
     raise ValueError(f"there is no exchange {strategy!r}")
 
 
 def shuffle_id(keys: Sequence[str], n: int, hash_function: str = "xx") -> Column:
-    """The partition, 0 to n - 1, that rows of equal keys share; null keys hash as nulls."""
+    """The partition, 0 to n - 1, that rows of equal keys share; null keys hash as nulls. Without keys rows go round."""
+    if not keys:
+        return F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
     return F.pmod(HASHES[hash_function](*keys), F.lit(n)).cast("int")

@@ -49,9 +49,15 @@ def join_on(left: DataFrame, right: DataFrame, condition: Any, how: str = "inner
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 8, how: str = "inner") -> DataFrame:
-    """An inner or left join whose left side has hot keys: its rows are dealt over ``salts`` copies of the right's."""
+    """An inner or left join whose left side has hot keys: its rows are dealt over ``salts`` copies of the right's.
+
+    Rows are dealt by the partition they are in, so no other column is read for it.
+    """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on the left")
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+    name = "_salt"
+    while name in left.columns or name in right.columns:
+        name += "_"
+    dealt = left.withColumn(name, F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
+    copies = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, name], how).drop(name)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,27 @@ def bitmap_and(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
 
 
+def bitmap_not(maps: DataFrame, every: DataFrame) -> DataFrame:
+    """The positions of ``every`` that aren't in ``maps``."""
+    from pyspark.sql.types import BinaryType
+
+    @F.pandas_udf(BinaryType())
+    def without(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([x if y is None else (np.frombuffer(x, np.uint8) & ~np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(a, b, strict=True)])
+
+    both = every.join(maps.withColumnRenamed("bits", "_bits"), "bucket", "left")
+    return both.select("bucket", without("bits", "_bits").alias("bits"))
+
+
+def bitmap_keep(df: DataFrame, position: str, maps: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose position, from 1, is set."""
+    at = F.bitmap_bit_position(position)
+    # byte at // 8 of the map, from 1, and its bit
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(position)).join(maps, F.col("_bucket") == F.col("bucket"))
+    return joined.where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(*df.columns)
+
+
 def bitmap_size(maps: DataFrame) -> DataFrame:
     """One row: n, how many positions are set."""
     return maps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
