@@ -24,12 +24,21 @@ def _batches(data: bytes) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of one IPC file or of all in a folder; each file is read in its own task."""
+    """The rows of one IPC file or of all in a folder; each file is read in its own task.
+
+    A task holds one file at a time, which may have up to 2 GB; larger tables take more
+    files. Only the first file's schema comes to the driver.
+    """
     files = spark.read.format("binaryFile").load(path)
-    first = files.limit(1).select("content").collect()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"schema": [_open(content.as_py()).schema.serialize().to_pybytes() for content in batch.column(0)]})
+
+    first = files.select("content").limit(1).mapInArrow(look, "schema binary").collect()
     if not first:
         raise ValueError(f"there are no files in {path}")
-    schema = from_arrow_schema(_open(bytes(first[0]["content"])).schema, prefer_timestamp_ntz=True)
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(bytes(first[0]["schema"]))), prefer_timestamp_ntz=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,3 +36,8 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     query = df.writeStream.format(query_format).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_to_files(df: DataFrame, folder: str, checkpoint: str) -> None:
+    """Runs a stream over what is there now, to its end, into Parquet files, each batch once."""
+    df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
