@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from brindle.catalogue import storage  # noqa: F401
 from brindle.catalogue.relational import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
