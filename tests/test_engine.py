@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle import types as bt
-from brindle.functions.aggregates import Agg
+from brindle.functions.aggregates import Agg, PartialAggregate
 from brindle.functions.scalar import REGISTRY
-from brindle.operators.aggregate import aggregate, salted_aggregate
+from brindle.operators.aggregate import aggregate, custom_aggregate, exact_percentile, salted_aggregate
 from brindle.operators.basic import distinct, distinct_stats, filter_, needed_columns, project
 from brindle.operators.exchange import exchange, shuffle_id
 from brindle.operators.joins import broadcast_if_small, join, join_on, salted_join
 from brindle.operators.metrics import fingerprint, measured, regressions, running, suggested_partitions
 from brindle.operators.ordering import Key, limit, sort, top_n
-from brindle.operators.runs import run_aggregate, run_segments
+from brindle.operators.runs import bitmap, bitmap_keep, bitmap_not, bitmap_size, run_aggregate, run_segments
 from brindle.operators.sets import set_op
 from brindle.operators.windows import Frame, WinFn, WinSpec, order, window
 from brindle.plans.expressions import Aggregate, Call, Case, Cast, Col, In, IsNull, Like, Lit, columns, contains_aggregate, depth, infer, to_column, transform
@@ -354,3 +354,52 @@ def test_pipelines(spark):
         Pipeline([Task("a", int, ("b",)), Task("b", int, ("a",))])
     with pytest.raises(ZeroDivisionError):
         Pipeline([Task("a", lambda: 1 / 0)]).run(spark)
+
+
+def test_salted_aggregates_of_distinct_values_and_odd_columns(spark):
+    df = spark.range(200).selectExpr("id % 2 AS k", "id % 5 AS v", "map('a', id) AS m", "7 AS _salt").repartition(6)
+    got = values(salted_aggregate(df, ["k"], [Agg("count", "v", "n", distinct=True), Agg("sum", "v", "s", distinct=True), Agg("avg", "v", "a", distinct=True), Agg("count", None, "rows"), Agg("max", "_salt", "hi")]).orderBy("k"))
+    assert got == [(0, 5, 10, 2.0, 100, 7), (1, 5, 10, 2.0, 100, 7)]
+    with pytest.raises(ValueError):
+        salted_aggregate(df, ["k"], [Agg("count", "v", "n", distinct=True), Agg("count", "_salt", "o", distinct=True)])
+
+
+def test_exact_percentile_in_two_steps(spark):
+    df = spark.range(30_000).selectExpr("id % 3 AS k", "CASE WHEN id % 7 = 0 THEN NULL ELSE (id * 7919) % 30011 / 3.0 END AS v").union(spark.createDataFrame([(9, 1.0), (9, 4.0), (8, None)], "k long, v double"))
+    for share in (0.0, 0.013, 0.5, 0.9, 1.0):
+        want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", F.lit(share)).alias("p")).collect() if r.p is not None}
+        got = {r.k: r.p for r in exact_percentile(df, ["k"], "v", share, "p", 1000).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_custom_aggregate_merges_states(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", None), ("a", 5.0), (None, 1.0), ("b", None)], "k string, v double").repartition(4)
+    spread = PartialAggregate(lambda x: (x.min(), x.max()), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda t: t[1] - t[0])
+    assert {r.k: r.s for r in custom_aggregate(df, ["k"], "v", spread, "s").collect()} == {"a": 2.0, None: 0.0, "b": None}
+    assert custom_aggregate(df.limit(0), ["k"], "v", spread, "s").collect() == []
+
+
+def test_iceberg_append(spark, tmp_path):
+    root, t = str(tmp_path / "t"), LakeReader(spark, str(tmp_path / "t"), "iceberg")
+    first = iceberg.append(spark.range(10).selectExpr("id", "concat('n', id) AS name"), root, tag="old", at_ms=1000)
+    second = iceberg.append(spark.range(10, 30).selectExpr("id", "CAST(NULL AS string) AS name"), root)
+    assert t.read().count() == 30 and t.at(snapshot_id=first).read().count() == 10 and t.at(tag="old").read().count() == 10
+    assert sorted(r.id for r in t.between(first, second).read().collect()) == list(range(10, 30))
+    late = (Predicate("id", "gt", ("15",)),)
+    assert len(iceberg.planned_files(spark, root, (Predicate("name", "is_not_null", ()),))[1]) < len(iceberg.planned_files(spark, root)[1]) and scan(spark, ScanSpec(root, "iceberg", predicates=late)).count() == 14
+    with pytest.raises(ValueError):
+        iceberg.append(spark.range(3), root)
+
+
+def test_network_sink_counts_and_bitmaps_have_complements(spark):
+    got = spark.sparkContext.accumulator(0)
+
+    def send(rows):
+        for r in rows:
+            got.add(r.id)
+
+    assert sink(spark.range(50), SinkSpec("network", send=send)) == {"rows": 50} and got.value == 1225
+    df = spark.range(1, 70_000).withColumnRenamed("id", "at")
+    odd = bitmap(df, "at", F.col("at") % 2 == 1)
+    even = bitmap_not(odd, bitmap(df, "at", F.lit(True)))
+    assert bitmap_size(even).first()[0] == 34_999 and bitmap_keep(df, "at", even).where("at % 2 = 1").count() == 0 and bitmap_keep(df, "at", even).count() == 34_999
