@@ -339,7 +339,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     far = _searched(placed, space.table(sent, "sent"), most, k, parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = near.union(far).withColumn("rank", rank).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = space.table(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found")
+    space.keep("found")
+    return found
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,7 +350,9 @@ def repeats(docs: DataFrame, text: str, space: Workspace) -> DataFrame:
     ahead = F.shiftright("stretch", 8).bitwiseAND(255)
     behind = F.col("stretch").bitwiseAND(255)
     whole = found.where("known = 1").select("rid", "tag", (F.col("at") - ahead).alias("start"), (F.col("at") - behind + LENGTH).alias("end"), "anchor", (-1 - F.abs(F.shiftright("stretch", 1))).alias("number"))
-    return space.table(spans.unionByName(whole), "spans")
+    spans = space.table(spans.unionByName(whole), "spans")
+    space.drop("anchors", "wanted", "contexts")
+    return spans
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, space: Workspace | None = None) -> DataFrame:

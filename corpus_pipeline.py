@@ -78,6 +78,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "pipeline")
     docs = load(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = space.table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            space.drop(before)  # the next stage has read it
+        before = name
     return docs

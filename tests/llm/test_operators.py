@@ -550,6 +550,35 @@ def test_license_scan_gives_every_place_and_any_replaced_word(spark):
 # 8
 
 
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    r = random.Random(31)
+    text = " ".join(r.choice(["ab", "cde", "f" * 150, "é", "same words again and again " * 6]) for _ in range(900))
+    data, offsets = textkit.utf8_of(pa.array([text]))
+    starts, ends, _ = textkit.words_of(data, offsets)
+    plain, whole = suffix_dedup._anchors(data, offsets), textkit.hash_ranges(data, starts, ends)
+    edges = np.array([0, 0, 5, 900]), np.array([len(data), 1, 4000, 901])
+    far = textkit.hash_ranges(data, *edges)
+    monkeypatch.setattr(textkit, "NEAR", 100)
+    monkeypatch.setattr(textkit, "_POWERS", [])
+    assert (textkit.hash_ranges(data, starts, ends) == whole).all() and (textkit.hash_ranges(data, *edges) == far).all()
+    for part in (1, 7, 300, 5000):
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        got = suffix_dedup.anchors(data, offsets)
+        assert all((a == b).all() for a, b in zip(got, plain, strict=True))
+
+
+def test_suffix_dedup_of_copies_in_one_batch_and_clashing_columns(spark):
+    r = random.Random(33)
+    passage = "".join(r.choice("abcdef ") for _ in range(450))
+    texts = {i: "".join(r.choice("ghijk ") for _ in range(60 + i)) + passage[(i % 3) * 40 :] + "".join(r.choice("lmno ") for _ in range(30)) for i in range(40)}
+    texts |= {100 + i: texts[3] for i in range(5)} | {200: "z" * 199, 201: "y" * 900, 202: None}
+    for parts in (1, 5):
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(parts).selectExpr("*", "1 AS rid", "'t' AS tag", "2 AS anchor", "3 AS `a.b`", "array(struct(1 AS start)) AS cuts")
+        assert cut_rows(df) == brute_cut(texts.items())
+        kept = suffix_dedup.removed(df, keep_text=True)
+        assert kept.columns == df.columns and kept.where("tag = 't' AND rid = 1 AND `a.b` = 3").count() == len(texts)
+
+
 def brute_cut(texts):
     raw = {i: (t or "").encode() for i, t in texts}
     seen = {}
