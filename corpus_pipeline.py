@@ -6,7 +6,7 @@ but the last return the columns of documents.
 
 * quality_classifier drops the documents that the language model rejects.
 * ngram_join keeps the smallest document of each near-duplicate group, and of
-  repeated rows one.
+  repeated rows one. Rows are told apart by key and text, not by doc_id alone.
 * suffix_dedup cuts repeated 200-byte strings out of the texts; no row goes.
 * mixing orders the rows by their slots, so the files hold the mixed sequence; no
   row goes.
