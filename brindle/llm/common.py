@@ -56,6 +56,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bytes(self, name: str) -> int:
+        """The size of a written table."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return int(at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength())
+
     def drop(self, *names: str) -> None:
         """Deletes these tables; nothing may read them afterwards."""
         for name in names:
