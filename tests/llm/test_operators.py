@@ -335,6 +335,68 @@ def test_quality_without_rows_or_labels(spark, docs, none):
     assert len(got) == len(TEXTS) and not any(r.rejected for r in got)
 
 
+def plain_word_model(texts, logs):
+    """The logarithm of a text's probability by pairs of words, counted in dictionaries, words without a context resting on their spelling."""
+    from collections import Counter
+
+    def cuts(counts):
+        n = Counter(counts)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0
+        return [0, *[max(0.05, min(k - 0.05, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] and n[1] + 2 * n[2] else max(0.05, min(k - 0.05, k * 0.5)) for k in (1, 2, 3)]]
+
+    def words(text):
+        return re.findall(r"[a-z]+|[.]", text)
+
+    def spelled(word):
+        code, total = 0, 0.0
+        for k in [29 if x == "." else ord(x) - 96 for x in word] + [0]:
+            code = (code << 5 | k) & (1 << 20) - 1
+            total += float(logs[code])
+        return np.exp(total)
+
+    pairs = Counter(p for t in texts for p in zip(["<", *words(t)], [*words(t), ""]))
+    left = Counter(w for _, w in pairs)
+    d, e = cuts(pairs.values()), cuts(left.values())
+    share = sum(e[min(c, 3)] for c in left.values()) / sum(left.values())
+    alone = lambda w: (left[w] - e[min(left[w], 3)]) / sum(left.values()) + share * spelled(w)
+    begun, kept = Counter(), Counter()
+    for (v, _), c in pairs.items():
+        begun[v] += c
+        kept[v] += d[min(c, 3)]
+
+    def log(text):
+        total = 0.0
+        for p in zip(["<", *words(text)], [*words(text), ""]):
+            p1 = alone(p[1])
+            total += np.log((pairs[p] - d[min(pairs[p], 3)] + kept[p[0]] * p1) / begun[p[0]] if begun[p[0]] else p1)
+        return total, sum(len(w) + 1 for w in words(text)) + 1
+
+    return log
+
+
+@pytest.mark.parametrize(("often", "part"), [(1_000, 1 << 20), (3, 100)])
+def test_perplexity_is_that_of_a_plain_model_of_words(spark, monkeypatch, often, part):
+    from brindle.llm import word_lm
+    from brindle.llm.common import Workspace
+
+    monkeypatch.setattr(word_lm, "OFTEN", often)
+    monkeypatch.setattr(word_lm, "PASSES", 2)
+    r = random.Random(21)
+    some = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    rows = [(i, " ".join(some[min(int(r.expovariate(0.1)), 59)] for _ in range(50)) + ".", "en", "s", 0) for i in range(16)]
+    rows += [(100, " ".join(sorted(rows[0][1][:-1].split())), "en", "s", 0), (101, "zzz qqq xxx", "en", "s", 0), (102, "abc " * 30, "en", "s", 0), *[(103, rows[3][1], "en", "s", 0)] * 2]
+    monkeypatch.setattr(word_lm, "PART", part)
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    got = quality_lm.judged(df, labels).collect()
+    top = quality_lm.counts(df.where("doc_id < 16"), "text", "lang", words=True)
+    logs = quality_lm.dense([tuple(x) for x in quality_lm.train(top, Workspace(spark, "t")).collect()])["en"]
+    log = plain_word_model([t for i, t, *_ in rows if i < 16], logs)
+    want = {i: np.exp(-log(t)[0] / log(t)[1]) for i, t, *_ in rows}
+    assert len(got) == len(rows) and all(abs(x.perplexity - want[x.doc_id]) < 1e-3 * want[x.doc_id] for x in got)
+    assert want[100] > 1.1 * want[0]  # the same words in another order
+
+
 # 5
 
 
