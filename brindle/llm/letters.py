@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -27,6 +28,7 @@ LETTERS = 26
 OTHER_SCRIPTS = 0x370
 
 
+@functools.cache
 def class_table() -> np.ndarray:
     """The class of each code point: letters a-z without case and accents, and a few kinds of others.
 
@@ -128,21 +130,25 @@ class Words:
         return mix64(hash_ranges(self.kinds, self.starts, self.ends) + np.repeat(salts, np.diff(self.rows)) + self.loud * LOUD)
 
     def spellings(self) -> tuple[np.ndarray, np.ndarray]:
-        """The letter n-grams of each word on its own, its end's included, and the n + 1 n-grams at which words begin."""
-        sizes = self.ends - self.starts + self.loud + 1
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        place = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
-        letters = np.zeros(begin[-1], dtype=np.uint32)
-        inner = np.ones(begin[-1], dtype=bool)
-        inner[begin[1:] - 1] = False
-        letters[inner] = CAPITAL
-        own = inner & (place >= np.repeat(self.loud, sizes))
-        letters[own] = self.kinds[(np.repeat(self.starts - self.loud, sizes) + place)[own]]
-        codes = letters.copy()
-        for back in range(1, ORDER):
-            at = np.flatnonzero(place >= back)
-            codes[at] |= letters[at - back] << np.uint32(BITS * back)
-        return codes, begin
+        return spellings(self.kinds, self.starts, self.ends, self.loud)
+
+
+def spellings(kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, loud: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letter n-grams of each word on its own, its end's included, and the n + 1 n-grams at which words begin."""
+    sizes = ends - starts + loud + 1
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
+    letters = np.zeros(begin[-1], dtype=np.uint32)
+    inner = np.ones(begin[-1], dtype=bool)
+    inner[begin[1:] - 1] = False
+    letters[inner] = CAPITAL
+    own = inner & (place >= np.repeat(loud, sizes))
+    letters[own] = kinds[(np.repeat(starts - loud, sizes) + place)[own]]
+    codes = letters.copy()
+    for back in range(1, ORDER):
+        at = np.flatnonzero(place >= back)
+        codes[at] |= letters[at - back] << np.uint32(BITS * back)
+    return codes, begin
 
 
 def turned(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from .common import Workspace, cleaning, load
 from .letters import BITS, CAPITAL, CLASSES, ORDER, SPACE, class_table, kinds_of
 from .membership import membership
 from .textkit import pieces, tidy, utf8_of
-from .word_lm import Model, read, spelled_out, sums_of, unpacked, words_of
+from .word_lm import Model, chunks, packed, read, spelt, sums_of, union, words_of
 
 #: The quantile QUANTILE of a language's trusted texts, in texts that the model hasn't seen, is so far above the median;
 #: a perplexity FENCE times as far above it is rejected.
@@ -37,8 +37,8 @@ STEP = 0.0005
 LEAST_GRAMS = 2_000
 #: Driver and workers hold three tables a language, of so many languages at a time.
 MOST_LANGUAGES = 12
-#: Stored bytes of trusted texts that one task counts.
-COUNTED_BYTES = 32 << 20
+#: Stored bytes of packed texts that one task counts.
+COUNTED_BYTES = 16 << 20
 #: A table of a row a language is broadcast up to so many rows.
 FEW_LANGUAGES = 10_000
 #: Between a language and the number of one of its halves; in no language's name.
@@ -96,6 +96,30 @@ def _words_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield codes, begin[part.rows], part.batch.column("_lang").to_pylist()
 
 
+def packed_counts(texts: DataFrame) -> DataFrame:
+    """(lang, gram, c) of the words, one by one, of packed texts; each half of a language is one of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for chunk in chunks(batches):
+            codes, begin = spelt(chunk.lengths, chunk.kinds)
+            sizes = np.diff(begin)
+            for half in (0, 1):
+                times = np.bincount(chunk.ids[np.repeat(chunk.half == half, chunk.sizes)], minlength=len(sizes))
+                for i, lang in enumerate(chunk.langs):
+                    mine = (chunk.tongue_of == i) & (times > 0)
+                    if not mine.any():
+                        continue
+                    own = f"{lang}{HALF}{half}"
+                    if own not in found and len(found) >= MOST_LANGUAGES:
+                        yield from _flush(found)
+                    held = found.setdefault(own, np.zeros(1 << (BITS * ORDER), dtype=np.uint32))
+                    held += np.bincount(codes[np.repeat(mine, sizes)], weights=np.repeat(times[mine], sizes[mine]), minlength=len(held)).astype(np.uint32)
+        yield from _flush(found)
+
+    return texts.mapInArrow(run, "lang string, gram int, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
 def _flush(found: dict) -> Iterator[pa.RecordBatch]:
     for own, held in found.items():
         at = np.flatnonzero(held)
@@ -183,29 +207,16 @@ def _tables(model: DataFrame, langs: list[str]) -> dict[str, bytes]:
     return {r["lang"]: bytes(r["packed"]) for r in rows}
 
 
-def based(docs: DataFrame, numbers: dict[str, int], tables: Broadcast) -> DataFrame:
-    """All columns of ``docs`` but _text; its letters, its words and the logarithm of the probability of their spellings by each model."""
-    fields = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes if c != "_text")
+def based(texts: DataFrame) -> DataFrame:
+    """For each row of texts packed with letter models its letters, its words and the logarithm of the probability of their spellings by each model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: np.ndarray | int = 0
-        logs_of = unpacked(tables.value)
-        for part in read(batches, numbers):
-            starts = np.minimum(part.rows[:-1], max(len(part.last) - 1, 0))
-            logs = spelled_out(part, logs_of, SUFFIXES, part.batch.column("_lang").to_pylist())
-            letters = part.words.ends - part.words.starts + 1
-            held = [np.where(part.size > 0, np.add.reduceat(x, starts), 0) if len(x) else np.zeros(len(part.size)) for x in (letters, np.ones(len(letters)), *logs)]
-            sums = sums + np.stack(held)
-            if part.more:
-                continue
-            kept = [c for c in part.batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.batch.column(c) for c in kept), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), *[pa.array(x, mask=np.isnan(x)) for x in sums[2:]]],
-                [*kept, "_letters", "_words", "_b0", "_b1", "_b2"],
-            )
-            sums = 0
-
-    return docs.mapInArrow(run, f"{fields}, _letters bigint, _words bigint, _b0 double, _b1 double, _b2 double")
+        for chunk in chunks(batches):
+            letters, *logs = chunk.sums
+            columns = [pa.array(chunk.rows), pa.array(letters.astype(np.int64)), pa.array(chunk.sizes), *[pa.array(x, mask=np.isnan(x)) for x in logs]]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "_letters", "_words", "_b0", "_b1", "_b2"])
+
+    return texts.mapInArrow(run, "_row bigint, _letters bigint, _words bigint, _b0 double, _b1 double, _b2 double")
 
 
 def _spread(letters: Column) -> Column:
@@ -260,40 +271,45 @@ def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str,
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"))
     trusted = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
     trusted = space.table(trusted.select("_key", F.xxhash64("_key").alias("_id")), "trusted")
-    half = F.pmod(F.xxhash64("_text"), F.lit(2))  # equal texts are in one half
-    texts = space.table(_trusted(rows, trusted).select("_text", "_lang", half.alias("_half")), "texts")
+    half = F.pmod(F.xxhash64("_text"), F.lit(2)).cast("int")  # equal texts are in one half
+    rows = rows.withColumns({"_row": F.xxhash64("_key", "_text", "_lang"), "_half": half})
+    tasks = lambda size: max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // COUNTED_BYTES))
+    texts = space.table(packed(_trusted(rows, trusted)), "texts")
     # a task's counts hardly grow after some texts, so tasks of COUNTED_BYTES shuffle much less than small ones
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-space.bytes("texts") // COUNTED_BYTES))
-    texts = texts.coalesce(tasks)
-    halves = space.table(counts(texts.select("_text", F.concat("_lang", F.lit(HALF), F.col("_half").cast("string")).alias("_lang")), "_text", "_lang", words=True), "halves")
+    texts = texts.coalesce(tasks(space.bytes("texts")))
+    halves = space.table(packed_counts(texts), "halves")
     whole = halves.groupBy(F.substring_index("lang", HALF, 1).alias("lang"), "gram").agg(F.sum("c").alias("c"))
     enough = whole.groupBy("lang").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_GRAMS)
     langs = sorted(r["lang"] for r in enough.select("lang").collect())
     numbers = {x: i for i, x in enumerate(langs)}
     letters = train(halves.unionByName(whole), space)
     space.drop("halves", "counts")
-    # documents of languages without a model aren't read by Python
-    mine = rows.select("_key", F.xxhash64("_key", "_text", "_lang").alias("_row"), half.alias("_half"), "_lang", "_text")
-    nothing = [F.lit(None).cast(k).alias(c) for c, k in (("_letters", "bigint"), ("_words", "bigint"), ("_b0", "double"), ("_b1", "double"), ("_b2", "double"))]
-    found, known = mine.where(~F.col("_lang").isin(langs)).drop("_text").select("*", *nothing), None
-    for at in range(0, len(langs), MOST_LANGUAGES):
-        some = langs[at : at + MOST_LANGUAGES]
-        own = F.col("_lang").isin(some)
-        tables = docs.sparkSession.sparkContext.broadcast(_tables(letters, [x + s for x in some for s in SUFFIXES]))  # of fixed size for each of MOST_LANGUAGES at most
-        found = found.unionByName(space.table(based(mine.where(own), numbers, tables), f"based-{at}"))
-        more = space.table(words_of(texts.where(own), numbers, tables, SUFFIXES), f"known-{at}")
-        known = more if known is None else known.unionByName(more)
+    found = rows.select("_key", "_row", "_half", "_lang")
+    groups = {at: {x: numbers[x] for x in langs[at : at + MOST_LANGUAGES]} for at in range(0, len(langs), MOST_LANGUAGES)}
+    spread = lambda some: docs.sparkSession.sparkContext.broadcast(_tables(letters, [x + s for x in some for s in SUFFIXES]))  # noqa: E731  of fixed size for each of MOST_LANGUAGES at most
+    known = []
+    for at, some in groups.items():
+        tables = spread(some)
+        known.append(space.table(words_of(texts.where(F.arrays_overlap("langs", F.array(*[F.lit(x) for x in some]))), some, tables, SUFFIXES), f"known-{at}"))
         tables.destroy()
-    space.drop(*[f"order-{o}" for o in range(1, ORDER + 1)])
-    if known is None:
+    if not known:
         judged_ = found.withColumns({"_perplexity": F.lit(None).cast("double"), "_limit": F.lit(None).cast("double"), "_gone": F.lit(False)})
     else:
-        model = Model(texts.where(F.col("_lang").isin(langs)), known, numbers, discounts(), space)
-        space.drop("texts")
-        words = found.agg(F.sum("_words")).first()[0] or 0
-        sums = sums_of(mine.where(F.col("_lang").isin(langs)), words, model, numbers, space)
-        scored = _scored(found, sums, model, langs)
+        model = Model(texts, union(known), numbers, discounts(), space)
+        space.drop("texts", *[f"known-{at}" for at in groups])
+        chunked = []
+        for at, some in groups.items():  # documents of languages without a model aren't read by Python
+            tables = spread(some)
+            chunked.append(space.table(packed(rows.where(F.col("_lang").isin(list(some))), tables, SUFFIXES), f"packed-{at}"))
+            tables.destroy()
+        space.drop(*[f"order-{o}" for o in range(1, ORDER + 1)])
+        chunked = union(chunked).coalesce(tasks(sum(space.bytes(f"packed-{at}") for at in groups)))
+        spelled = space.table(based(chunked), "based")
+        words = spelled.agg(F.sum("_words")).first()[0] or 0
+        sums = sums_of(chunked, words, model, numbers, space)
+        scored = _scored(found, spelled, sums, model, langs)
         scored = space.table(scored, "scored")
+        space.drop(*[f"packed-{at}" for at in groups])
         held = scored.join(trusted.select("_key"), "_key", "left_semi").select("_lang", "_letters", F.when(F.col("_half") == 0, F.col("_p1")).otherwise(F.col("_p0")).alias("_perplexity"))
         joined = scored.withColumnRenamed("_p2", "_perplexity").join(_small(limits(held.where("_perplexity is not null"))), "_lang", "left")
         limit = F.exp(F.col("_middle") + F.col("_above") * _spread(F.col("_letters")))
@@ -304,19 +320,22 @@ def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str,
     return out
 
 
-def _scored(found: DataFrame, sums: DataFrame, model: Model, langs: list[str]) -> DataFrame:
-    """``found`` with its perplexity for a letter by each model, _p0 to _p2; null for texts without words or of languages without a model.
+def _scored(found: DataFrame, spelled: DataFrame, sums: DataFrame, model: Model, langs: list[str]) -> DataFrame:
+    """``found`` with its letters and its perplexity for a letter by each model, _p0 to _p2; null for texts without words or of languages without a model.
 
-    ``sums`` are of all rows of a _row together, so are divided by their number.
+    ``spelled`` and ``sums`` are of all rows of a _row, so what is summed is divided by their number.
     """
-    each = found.where("_words > 0").select("_row", *[F.lit(0.0).alias(f"s{m}") for m in range(3)], F.lit(1).alias("n"))
-    total = sums.select("*", F.lit(0).alias("n")).unionByName(each).groupBy("_row").agg(*[F.sum(f"s{m}").alias(f"s{m}") for m in range(3)], F.sum("n").alias("_n"))
+    number = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    own = ["_letters", "_words", "_b0", "_b1", "_b2"]
+    each = spelled.select("_row", *own, F.lit(1).alias("n"), *[number(f"s{m}", "double") for m in range(3)])
+    added = sums.select("_row", *[number(c, "bigint" if c in own[:2] else "double") for c in own], F.lit(0).alias("n"), "s0", "s1", "s2")
+    total = each.unionByName(added).groupBy("_row").agg(*[F.max(c).alias(c) for c in own], F.sum("n").alias("_n"), *[F.sum(f"s{m}").alias(f"s{m}") for m in range(3)])
     shares = [(lang, *[math.log(x) if x else None for x in model.share[i]]) for i, lang in enumerate(langs) if i in model.share]
     table = found.sparkSession.createDataFrame(shares, "_lang string, g0 double, g1 double, g2 double")
     rows = found.join(total, "_row", "left").join(F.broadcast(table) if len(shares) <= FEW_LANGUAGES else table, "_lang", "left")
     some = F.col("_words") > 0
     log = lambda m: F.try_divide(F.col(f"_b{m}") + F.try_divide(f"s{m}", "_n") + F.col("_words") * F.col(f"g{m}"), F.col("_letters"))
-    return rows.select(*found.columns, *[F.when(some, F.exp(-log(m))).alias(f"_p{m}") for m in range(3)])
+    return rows.select(*found.columns, "_letters", *[F.when(some, F.exp(-log(m))).alias(f"_p{m}") for m in range(3)])
 
 
 def row_id(key: str = "doc_id", text: str = "text", lang: str = "lang") -> Column:

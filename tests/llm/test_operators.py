@@ -397,6 +397,29 @@ def test_perplexity_is_that_of_a_plain_model_of_words(spark, monkeypatch, often,
     assert want[100] > 1.1 * want[0]  # the same words in another order
 
 
+def test_packed_texts_are_read_back_slice_by_slice(monkeypatch):
+    from brindle.llm import word_lm
+
+    monkeypatch.setattr(word_lm, "SLICE", 7)
+    texts = ["a bb a. CC dd", None, "", "bb bb bb bb bb bb bb bb bb bb", "q", "  ", "zz a"]
+    columns = {"_row": range(7), "_lang": ["x", "x", "y", "y", "x", "y", "y"], "_half": [0, 1] * 3 + [0], "_text": texts, "_salt": [5, 5, 6, 6, 5, 6, 6]}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(list(v), pa.string() if c in ("_lang", "_text") else pa.int64()) for c, v in columns.items()})
+    held, want = word_lm._Packer(), {}
+    for part in word_lm.read(iter([batch]), True):
+        held.add(part)
+        want |= {i: part.last[part.rows[i] : part.rows[i + 1]].tolist() for i in range(7) if part.size[i]}
+    (chunk,) = word_lm.chunks(iter([held.chunk(None, None)]))
+    got, before = {}, {}
+    for rows, words in chunk.slices:
+        v, w = word_lm._pairs(chunk, rows, words, chunk.hashes, chunk.begins)
+        first = words.start
+        for i in range(rows.start, rows.stop):
+            at = slice(int(chunk.starts[i]) - first, int(chunk.starts[i] + chunk.sizes[i]) - first)
+            got[int(chunk.rows[i])], before[int(chunk.rows[i])] = w[at].tolist(), v[at].tolist()
+            assert before[int(chunk.rows[i])] == [int(chunk.begins[i]), *w[at][:-1].tolist()]
+    assert got == want and len(chunk.hashes) < len(chunk.ids) and len(list(chunk.slices)) > 1
+
+
 # 5
 
 
