@@ -403,3 +403,19 @@ def test_network_sink_counts_and_bitmaps_have_complements(spark):
     odd = bitmap(df, "at", F.col("at") % 2 == 1)
     even = bitmap_not(odd, bitmap(df, "at", F.lit(True)))
     assert bitmap_size(even).first()[0] == 34_999 and bitmap_keep(df, "at", even).where("at % 2 = 1").count() == 0 and bitmap_keep(df, "at", even).count() == 34_999
+
+
+def test_streams_take_files_in_order_of_time_whichever_was_written_first(spark, tmp_path):
+    import os
+
+    from brindle.catalogue.storage import _timed_by_name
+    from brindle.streaming.windows import read_stream, run_to_files, windowed
+
+    like = spark.sql("SELECT timestamp '2024-01-01' + make_interval(0, 0, 0, id) AS ts FROM range(9)")
+    like.repartitionByRange(3, "ts").write.parquet(f"{tmp_path}/in")
+    for i, f in enumerate(sorted((tmp_path / "in").glob("part-*"), reverse=True)):
+        os.utime(f, (1.7e9 + i, 1.7e9 + i))
+    _timed_by_name(spark, f"{tmp_path}/in")
+    stream = windowed(read_stream(spark, f"{tmp_path}/in", like, 1), "ts", "1 day", [F.count("*").alias("n")], late="0 seconds")
+    run_to_files(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 8
