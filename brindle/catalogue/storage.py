@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Agg, PartialAggregate
@@ -12,7 +12,7 @@ from ..operators.exchange import HASHES, exchange, shuffle_id
 from ..operators.joins import join
 from ..operators.metrics import fingerprint, measured, regressions, running, suggested_partitions
 from ..operators.runs import bitmap, bitmap_keep, bitmap_not
-from ..operators.windows import Frame, WinFn, WinSpec, order, register_window, window
+from ..operators.windows import Frame, FrameFunction, WinFn, WinSpec, fold_frames, order, register_window, window
 from ..plans.expressions import Aggregate, Call, Case, Cast, Col, Lit, columns, contains_aggregate, depth, infer, transform
 from ..plans.pipeline import SKIPPED, Pipeline, Task
 from ..plans.stage import Node, StagePlan
@@ -170,13 +170,12 @@ def agg_custom_states(s, d):
 
 @query("SELECT o_orderkey, round(max(o_totalprice) OVER w - min(o_totalprice) OVER w, 6) AS span FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def win_custom(s, d):
-    """A caller's window function as a grouped pandas UDF over a frame."""
+    """A caller's window function, of the frames of many rows at once."""
 
-    @F.pandas_udf("double")
-    def span(x: pd.Series) -> float:
-        return float(x.max() - x.min())
+    def span(x, starts, ends):
+        return fold_frames(np.fmax, x, starts, ends) - fold_frames(np.fmin, x, starts, ends)
 
-    register_window("span_of_values", span)
+    register_window("span_of_values", FrameFunction(span))
     spec = WinSpec(("o_custkey",), order("o_orderkey"), Frame("rows", -2, 0))
     return window(_orders(s, d), [WinFn("span_of_values", ("o_totalprice",), "span", spec)]).select("o_orderkey", F.round("span", 6).alias("span"))
 

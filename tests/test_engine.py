@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from brindle.operators.metrics import fingerprint, measured, regressions, runnin
 from brindle.operators.ordering import Key, limit, sort, top_n
 from brindle.operators.runs import bitmap, bitmap_keep, bitmap_not, bitmap_size, run_aggregate, run_segments
 from brindle.operators.sets import set_op
-from brindle.operators.windows import Frame, WinFn, WinSpec, order, window
+from brindle.operators.windows import Frame, FrameFunction, WinFn, WinSpec, column_over, fold_frames, order, register_window, window
 from brindle.plans.expressions import Aggregate, Call, Case, Cast, Col, In, IsNull, Like, Lit, columns, contains_aggregate, depth, infer, to_column, transform
 from brindle.plans.stage import Node, StagePlan
 from brindle.session import settings_from_yaml
@@ -186,6 +187,39 @@ def test_groups_frame(spark):
     assert sorted(r.s for r in got.collect()) == [1, 5, 5, 8]
 
 
+@pytest.mark.parametrize(("by", "batch"), [((), 3), (("k",), 1), (("k",), 10_000)])
+def test_functions_of_frames_are_the_plain_ones(spark, by, batch):
+    def total(x, starts, ends):
+        return [float(sum(v for v in x[a:b] if v == v)) if any(v == v for v in x[a:b]) else None for a, b in zip(starts, ends, strict=True)]
+
+    register_window("own_sum", FrameFunction(total))
+    df = spark.range(60).selectExpr("id % 7 % 4 AS k", "id AS u", "id % 11 AS x", "nullif(id % 5, 2) AS v", "'t' AS own").repartition(3)
+    frames = [("u", None), (None, None)] + [("u", Frame("rows", a, b)) for a, b in ((-2, 0), (0, 3), (None, -1), (2, None), (-4, -2), (3, 5), (None, None), (-1, None))]
+    frames += [("x", Frame(kind, a, b)) for kind in ("range", "groups") for a, b in ((-2, 1), (None, 0), (0, None), (1, None), (2, 3), (-3, -2), (None, None))] + [("x", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for key, frame in frames:
+            spec = WinSpec(by, order(key) if key else (), frame)
+            got = window(df, [WinFn("own_sum", ("v",), "own", spec), WinFn("sum", ("v",), "s", spec)]).select("u", "own", "s").collect()
+            assert len(got) == 60 and [(r.u, r.own) for r in got if r.own != r.s] == [], (key, frame)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(ValueError):
+        column_over(df, WinFn("own_sum", ("v",), "s", spec))
+
+
+def test_functions_of_frames_get_many_rows_at_once(spark, small):
+    from brindle.catalogue.storage import win_custom
+
+    register_window("calls", FrameFunction(lambda x, starts, ends: [len(starts)] * len(starts), "int"))
+    df = spark.range(2000).selectExpr("id % 500 AS k", "id")
+    got = window(df, [WinFn("calls", ("id",), "n", WinSpec(("k",), order("id"), Frame("rows", -2, 0)))])
+    assert got.where("n < 100").count() == 0 and got.count() == 2000
+    assert "InPandas" not in (plan := win_custom(spark, small)._jdf.queryExecution().executedPlan().toString()) and "WindowPython" not in plan
+    ends = fold_frames(np.fmax, np.array([3.0, float("nan"), 1.0]), np.array([0, 1, 1, 3]), np.array([2, 2, 3, 3]))
+    assert [None if x != x else x for x in ends] == [3.0, None, 1.0, None]
+
+
 def test_distinct(spark):
     df = spark.createDataFrame([(1, 2), (1, 1), (None, 3), (None, 3)], "k int, v int")
     assert sorted(values(distinct(df, ["k"], [Key("v")])), key=str) == [(1, 1), (None, 3)]
