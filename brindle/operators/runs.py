@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import unused
 from .ordering import Key, sort_columns
 
 
@@ -17,11 +19,19 @@ def run_segments(df: DataFrame, value: str, order_by: Sequence[Key | str], parti
 
     Without ``partition_by`` all rows form one order, which one task has to see.
     """
-    w = Window.partitionBy(*partition_by).orderBy(*sort_columns(order_by))
-    marked = df.select(*partition_by, F.col(value), (F.row_number().over(w) - 1).alias("_at"), (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int").alias("_new"))
-    numbered = marked.withColumn("segment", F.sum("_new").over(Window.partitionBy(*partition_by).orderBy("_at")))
-    runs = numbered.groupBy(*partition_by, "segment").agg(F.any_value(value).alias(value), F.min("_at").cast("long").alias("start"), F.count("*").alias("length"))
-    return runs.select(*partition_by, F.col("segment").cast("long").alias("segment"), value, "start", "length")
+    keys = [k if isinstance(k, Key) else Key(k) for k in order_by]
+    names = [unused(f"_key{i}", df) for i in range(len(keys))]
+    v, at, first, last = (unused(c, df) for c in ("_value", "_at", "_first", "_last"))
+    rows = df.select(*partition_by, F.col(value).alias(v), *[F.col(k.col).alias(n) for k, n in zip(keys, names, strict=True)])
+    # all windows have one order and so one sort; only the ends of runs are kept, and no run is grouped
+    w = Window.partitionBy(*partition_by).orderBy(*sort_columns([replace(k, col=n) for k, n in zip(keys, names, strict=True)]))
+    # a partition's first and last rows have no neighbour, not even of null
+    differs = lambda beside: beside(F.lit(1)).over(w).isNull() | ~F.col(v).eqNullSafe(beside(v).over(w))
+    ends = rows.select("*", F.row_number().over(w).alias(at), differs(F.lag).alias(first), differs(F.lead).alias(last)).where(F.col(first) | F.col(last))
+    # the end of a run is its first row or the next one kept
+    length = F.when(F.col(last), F.lit(1)).otherwise(F.lead(at).over(w) - F.col(at) + 1)
+    runs = ends.select("*", length.cast("long").alias("length"), F.sum(F.col(first).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment")).where(first)
+    return runs.select(*partition_by, "segment", F.col(v).alias(value), (F.col(at) - 1).cast("long").alias("start"), "length")
 
 
 def run_aggregate(segments: DataFrame, value: str) -> DataFrame:

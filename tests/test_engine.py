@@ -247,6 +247,24 @@ def test_runs(spark):
     assert values(run_aggregate(segments, "v")) == [(9, 6, 1, 2, 1.5)]
 
 
+def test_runs_are_found_with_one_sort_and_no_groups(spark):
+    rows = [(g, i, [1, 1, None, None, 2, None, 1][(i * i + g) % 7 if g else 0]) for g in range(4) for i in range(50)]
+    df = spark.createDataFrame([*rows, (None, 5, None), (None, 3, None), (None, None, 4)], "g int, i int, v int").repartition(3)
+    want = []
+    for g in {r.g for r in df.collect()}:
+        runs = []
+        for at, r in enumerate(sorted((r for r in df.collect() if r.g == g), key=lambda r: -1000 if r.i is None else -r.i)):
+            if not runs or runs[-1][2] != r.v:
+                runs.append([g, len(runs) + 1, r.v, at, 0])
+            runs[-1][4] += 1
+        want += map(tuple, runs)
+    got = run_segments(df, "v", [Key("i", asc=False, nulls_first=True)], ["g"])
+    plan = got._jdf.queryExecution().executedPlan().toString()  # before it runs
+    assert dict(got.dtypes) == {"g": "int", "segment": "bigint", "v": "int", "start": "bigint", "length": "bigint"}
+    assert sorted(values(got), key=str) == sorted(want, key=str)
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan and run_segments(df.where("g > 9"), "v", ["i"]).count() == 0
+
+
 def test_metrics(spark):
     m = measured(spark.range(10), lambda d: d.where("id < 4"))
     m.result.collect()
