@@ -51,7 +51,9 @@ def join_on(left: DataFrame, right: DataFrame, condition: Any, how: str = "inner
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 8, how: str = "inner") -> DataFrame:
     """An inner or left join whose left side has hot keys: its rows are dealt over ``salts`` copies of the right's.
 
-    Rows are dealt by the partition they are in, so no other column is read for it.
+    Rows are dealt by the partition they are in, so no other column is read for it. Spark's
+    estimate of a side's size leaves out that it is copied, and a broadcast of all copies
+    would be held by each task, so both sides are shuffled and merged.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on the left")
@@ -60,4 +62,4 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 8, how
         name += "_"
     dealt = left.withColumn(name, F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
     copies = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, name], how).drop(name)
+    return dealt.join(copies.hint(STRATEGIES["merge"]), [key, name], how).drop(name)

@@ -62,6 +62,16 @@ def test_join_on_and_salted(spark, a, b):
     assert salted_join(left, right.where("k < 2"), "k", 4, "left").where("v IS NULL").count() == 33
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_copies_are_not_broadcast(spark, how):
+    left = spark.range(3000).selectExpr("nullif(if(id % 3 > 0, 7, id % 50), 49) AS k", "id").repartition(5)
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (3, None), (None, "c"), (90, "d")], "k long, v string")
+    salted, plain = salted_join(left, right, "k", 4, how), left.join(right, "k", how)
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert salted.columns == plain.columns and sorted(values(salted), key=str) == sorted(values(plain), key=str)
+
+
 def test_set_modes(a, b):
     counts = {("intersect", "sql"): 2, ("intersect", "bag_left"): 3, ("except", "sql"): 1, ("except", "bag_left"): 1, ("except_all", "sql"): 2, ("union_all", "sql"): 7, ("union", "sql"): 4}
     for (kind, mode), n in counts.items():
